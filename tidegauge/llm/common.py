@@ -40,9 +40,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def lower_ascii(words: Column) -> Column:
-    """Each word with A-Z lower-cased and no other letter; only words with such a letter are rewritten."""
-    return F.transform(words, lambda w: F.when(w.rlike("[A-Z]"), F.translate(w, UPPER, LOWER)).otherwise(w))
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased and no other letter. (lower() maps other letters too, and is slow where there are any: such texts are
+    split before their capitals.)"""
+    small = lambda p: F.when(p.rlike("^[A-Z]"), F.concat(F.lower(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))).otherwise(p)
+    mixed = F.array_join(F.transform(F.split(text, "(?=[A-Z])"), small), "")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(mixed)
+
+
+def numbers(values: list, kind: str) -> Column:
+    """A constant array: folded once into the plan, not built for each row."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
 def words_of(text: Column, separators: str) -> Column:
@@ -53,8 +61,8 @@ def words_of(text: Column, separators: str) -> Column:
 
 #: Separators of `[^\x20\x09-\x0D]+` words.
 SPACES = r"\x20\x09-\x0D"
-#: Separators of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` words, before A-Z are lower-cased.
-NON_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: Separators of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` words, in texts whose A-Z are lower-cased.
+NON_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

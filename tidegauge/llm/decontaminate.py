@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import NON_WORD, cut, let, lower_ascii, words_of
+from tidegauge.llm.common import NON_WORD, cut, let, lower_ascii, numbers, words_of
 
+#: A word, as it stands in a text whose capitals are not yet lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window, and of the shingles that a window is found by.
 WINDOW, SHINGLE = 13, 2
 #: Tables of windows or of their shingles up to this many rows are broadcast; larger ones are shuffled.
@@ -16,7 +18,7 @@ MOST_LONGS = 1 << 17
 
 
 def normal_words(text: Column) -> Column:
-    return lower_ascii(words_of(text, NON_WORD))
+    return words_of(lower_ascii(F.coalesce(text, F.lit(""))), NON_WORD)
 
 
 def shingle_keys(words: Column, size: int) -> Column:
@@ -50,50 +52,44 @@ def _sieve(keys: DataFrame, rows: int) -> tuple[list[int], int]:
     return out, longs
 
 
-def _candidates(words: Column, keys: Column, bitmap: list[int], longs: int, window: int, size: int) -> Column:
-    """For each place whose shingle passes the sieve: its key, place and the words around it that a window could cover."""
-    bits = F.from_json(F.lit("[" + ",".join(map(str, bitmap)) + "]"), "array<bigint>")
-    passes = lambda k: F.shiftrightunsigned(F.get(bits, F.shiftright(k, 6).bitwiseAND(F.lit(longs - 1).cast("long")).cast("int")), 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))) != 0
-    first = lambda i: F.greatest(i - (window - size), F.lit(0))
-    return let(
-        keys,
-        lambda ks: F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(ks) - 1), lambda i: (F.size(ks) > 0) & passes(F.get(ks, i))),
-            lambda i: F.struct(F.get(ks, i).alias("key"), i.alias("at"), first(i).alias("first"), F.slice(words, first(i) + 1, i - first(i) + window).alias("near")),
-        ),
-    )
+def _passes(key: Column, bits: Column, longs: int) -> Column:
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.get(bits, F.shiftright(key, 6).bitwiseAND(F.lit(longs - 1).cast("long")).cast("int")).bitwiseAND(one) != 0
 
 
-def _matches(docs: DataFrame, windows: DataFrame, window: int, size: int, limit: int) -> DataFrame:
-    """(uid, start, n, item) of every occurrence of a window of at least `size` words in a document.
+def _matches(docs: DataFrame, windows: DataFrame, size: int, limit: int) -> DataFrame:
+    """(digest, hits) of the texts in docs (digest, _x) that have windows of at least `size` words; hits are structs (start, n, item).
 
     Shingles are ordered by how often documents have them, over all documents; a window that occurs has its rarest shingle
-    there too, so that one is its necessary prefix. Documents' shingles are sieved by a bitmap, joined with the prefixes, and
-    kept where the window's place and length fit the document; then the words are compared.
+    there too, so that one is its necessary prefix. Places of shingles that any window has are written once, counted,
+    and joined with the prefixes; a place and an offset give a window's start, and starts before the text are dropped. Texts
+    with a start left are read again, each once, their lengths bound the starts from above, and the words are compared.
     """
-    keyed = windows.withColumn("keys", shingle_keys(F.col("words"), size))
+    keyed = cut(windows.withColumn("keys", shingle_keys(F.col("words"), size)), "keyed")
     vocabulary = cut(keyed.select(F.explode("keys").alias("key")).distinct(), "shingles")
     rows = vocabulary.count()
-    bitmap, longs = _sieve(vocabulary, rows)
-    bits = F.from_json(F.lit("[" + ",".join(map(str, bitmap)) + "]"), "array<bigint>")
-    hit = lambda k: F.get(bits, F.shiftright(k, 6).bitwiseAND(F.lit(longs - 1).cast("long")).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))) != 0
-    seen = docs.select(F.explode(let(normal_words(F.col("_x")), lambda w: F.filter(shingle_keys(w, size), hit))).alias("key"))
-    often = seen.groupBy("key").count().join(_maybe_broadcast(vocabulary, rows, limit), "key", "left_semi")
-    often = cut(often, "shingle_counts")
-    places = keyed.select("wid", "item", "words", F.posexplode("keys").alias("offset", "key")).join(often, "key", "left")
-    rarest = F.min(F.struct(F.coalesce("count", F.lit(0).cast("long")).alias("count"), "key", "offset")).alias("p")
-    prefixes = cut(places.groupBy("item", "wid", "words").agg(rarest).where("p.count > 0").select("item", "words", F.size("words").alias("n"), "p.key", "p.offset"), "prefixes")
-    n = prefixes.count()
-    bitmap, longs = _sieve(prefixes.select("key").distinct(), n)
-    found = docs.select(
-        "uid",
-        F.explode(let(normal_words(F.col("_x")), lambda w: F.transform(_candidates(w, shingle_keys(w, size), bitmap, longs, window, size), lambda c: F.struct(c["key"].alias("key"), c["at"].alias("at"), c["first"].alias("first"), c["near"].alias("near"), F.size(w).alias("n_words"))))).alias("c"),
-    ).select("uid", "c.*")
-    joined = found.join(_maybe_broadcast(prefixes, n, limit), "key")
-    start = F.col("at") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("n") <= F.col("n_words"))
-    same = F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("n")) == F.col("words")
-    return joined.where(fits & same).select("uid", start.alias("start"), "n", "item")
+    places = docs.select("digest", F.posexplode(shingle_keys(normal_words(F.col("_x")), size)).alias("at", "key"))
+    if rows > limit:  # what the bitmap lets through is shuffled
+        bitmap, longs = _sieve(vocabulary, rows)
+        places = places.where(_passes(F.col("key"), numbers(bitmap, "bigint"), longs))
+    places = cut(places.join(_maybe_broadcast(vocabulary, rows, limit), "key", "left_semi"), "places")
+    often = places.groupBy("key").count()
+    offsets = keyed.select("wid", "item", "words", F.posexplode("keys").alias("offset", "key")).join(often, "key")
+    # with a shingle that no document has, a window occurs nowhere
+    rarest = offsets.groupBy("item", "wid", "words").agg(F.min(F.struct("count", "key", "offset")).alias("p"), F.count("*").alias("had"))
+    prefixes = cut(rarest.where(F.col("had") == F.size("words") - (size - 1)).select("item", "words", F.size("words").alias("n"), "p.key", "p.offset"), "prefixes")
+    found = places.join(_maybe_broadcast(prefixes, prefixes.count(), limit), "key").select("digest", (F.col("at") - F.col("offset")).alias("start"), "n", "words", "item").where("start >= 0")
+    starts = cut(found.groupBy("digest").agg(F.collect_set(F.struct("start", "n", "item", "words")).alias("c")), "starts")
+    texts = docs.join(_maybe_broadcast(starts.select("digest"), starts.count(), limit), "digest", "left_semi").dropDuplicates(["digest"])
+    same = lambda w, c: (c["start"] + c["n"] <= F.size(w)) & (F.slice(w, c["start"] + 1, c["n"]) == c["words"])
+    kept = let(normal_words(F.col("_x")), lambda w: F.filter(F.col("c"), lambda c: same(w, c)))
+    hits = texts.join(starts, "digest").select("digest", kept.alias("c")).where(F.size("c") > 0)
+    return hits.select("digest", F.transform("c", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["item"].cast("string").alias("item"))).alias("hits"))
+
+
+def _passes(key: Column, bits: Column, longs: int) -> Column:
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.get(bits, F.shiftright(key, 6).bitwiseAND(F.lit(longs - 1).cast("long")).cast("int")).bitwiseAND(one) != 0
 
 
 def contamination(
@@ -117,29 +113,32 @@ def contamination(
     are ignored.
     """
     windows = cut(item_windows(items, item_id_col, item_text_col, window), "windows")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("_id"), F.col(text_col).alias("_x"))
+    # what a text has depends on the text alone, so a text's digest stands for it and copies count once
+    rows = docs.select(F.col(id_col).alias("_id"), F.md5(F.col(text_col).cast("binary")).alias("digest"), F.col(text_col).alias("_x"))
+    texts, found = rows.select("digest", "_x").where("_x is not null"), []
     long = windows.where(F.size("words") >= size)
-    hits = None if long.isEmpty() else _matches(rows, long, window, size, limit)
+    if not long.isEmpty():
+        found.append(_matches(texts, long, size, limit))
     for k in range(1, size):  # items of fewer words than a shingle
         short = windows.where(F.size("words") == k)
         if not short.isEmpty():
-            more = _matches(rows, short, window, k, limit)
-            hits = more if hits is None else hits.unionByName(more)
-    counted = rows.select("uid", "_id", F.size(words_of(F.col("_x"), NON_WORD)).cast("long").alias("n_words"))
-    if hits is None:
-        found = counted.select("*", F.lit(None).cast("array<int>").alias("covered"), F.lit(None).cast("array<string>").alias("found"))
-    else:
-        # a document's hits are its own words and items: bounded by its length and by the benchmark
-        spans = hits.groupBy("uid", "start").agg(F.max("n").alias("n"), F.collect_set(F.col("item").cast("string")).alias("of"))
-        per = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("of")))).alias("found"))
-        found = counted.join(per, "uid", "left")
-    if hits is not None:
+            found.append(_matches(texts, short, k, limit))
+    counted = rows.select("_id", "digest", F.regexp_count(F.coalesce("_x", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    if found:
+        hits = found[0]
+        for more in found[1:]:
+            hits = hits.unionByName(more)
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
         end = lambda s: (s["start"] + s["n"]).cast("long")
         step = lambda a, s: F.struct((a["n"] + F.greatest(end(s) - F.greatest(a["end"], s["start"].cast("long")), F.lit(0).cast("long"))).alias("n"), F.greatest(a["end"], end(s)).alias("end"))
-        n_hit = F.coalesce(F.aggregate("spans", zero, step, lambda a: a["n"]), F.lit(0).cast("long"))
+        if len(found) > 1:
+            hits = hits.groupBy("digest").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+        per = hits.select("digest", F.aggregate(F.sort_array("hits"), zero, step, lambda a: a["n"]).alias("n_hit"), F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item"]), lambda x: x.isNotNull()))).alias("found"))
+        per = cut(per, "hits")
+        found = counted.join(_maybe_broadcast(per, per.count(), limit), "digest", "left")
+        n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     else:
-        n_hit = F.lit(0).cast("long")
+        found, n_hit = counted.withColumn("found", F.array().cast("array<string>")), F.lit(0).cast("long")
     listed = F.coalesce(F.col("found"), F.array().cast("array<string>"))
     out = found.select(F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import let
+from tidegauge.llm.common import lower_ascii
 
 # Fixed values: (identifier, text) of known licences and of the one-line notices that stand for them.
 LICENSES = [
@@ -49,47 +51,32 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 # Lines that name a copyright holder or reserve rights; they are dropped.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|<year>|\[yyyy\])|\(c\)[ \t]+|©|all rights reserved\.?[ \t]*$)[^\n]*$"
-# Runs of ASCII marks, Latin-1 marks and typographic punctuation count as one space. Line ends stay.
-MARKS = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F -©«-±¶·»‐-‧‰-⁞]+"
-# Equivalent spellings as (pattern, replacement), applied in this order after marks are gone.
+# Runs of ASCII marks, Latin-1 marks and typographic punctuation count as one space.
+MARKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\u00A0-\u00A9\u00AB-\u00B1\u00B4\u00B6-\u00B8\u00BB\u00BF\u2010-\u2027\u2030-\u205E]+"
+# Equivalent spellings, replaced in this order after marks are gone.
 SPELLINGS = [
-    ("licenc(e|ing|or)", "licens{1}"),
-    ("(acknowledg|judg)ement", "{1}ment"),
-    ("(author|custom|initial|organ|recogn|normal|summar|util|real|minim|maxim)is(e|ing|ation)", "{1}iz{2}"),
-    ("(col|fav|hon|lab|behavi)our", "{1}or"),
-    ("sub[ \n]licens", "sublicens"),
-    ("non[ \n]commercial", "noncommercial"),
-    ("non[ \n]infring", "noninfring"),
-    ("copyright[ \n]owner", "copyright holder"),
-    ("https[ \n]", "http "),
-    ("whilst", "while"),
-    ("wilful", "willful"),
-    ("fulfil([ \nsm])", "fulfill{1}"),
-    ("per[ \n]cent", "percent"),
-]
-
-
-def _group(replacement: str, sign: str) -> str:
-    return replacement.replace("{1}", f"{sign}1").replace("{2}", f"{sign}2")
-
-
-def canonical_lines(text: Column) -> Column:
-    """text lower-cased, without copyright lines, marks as spaces, spellings made equal; line ends stay. Null counts as empty."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
-    out = F.regexp_replace(out, MARKS, " ")
-    for pattern, replacement in SPELLINGS:
-        out = F.regexp_replace(out, pattern, _group(replacement, "$"))
+    ("licenc", "licens"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"),
+    ("authoris", "authoriz"), ("customis", "customiz"), ("initialis", "initializ"), ("organis", "organiz"), ("recognis", "recogniz"),
+    ("normalis", "normaliz"), ("summaris", "summariz"), ("utilis", "utiliz"), ("realis", "realiz"), ("minimis", "minimiz"), ("maximis", "maximiz"),
+    ("colour", "color"), ("favour", "favor"), ("honour", "honor"), ("labour", "labor"), ("behaviour", "behavior"),
+    ("sub licens", "sublicens"), ("non commercial", "noncommercial"), ("non infring", "noninfring"),
+    ("copyright owner", "copyright holder"), ("https ", "http "), ("whilst", "while"), ("wilful", "willful"), ("fulfil ", "fulfill "), ("per cent", "percent"),
+]
+
+
+def canonical(text: Column) -> Column:
+    """text with A-Z lower-cased, without copyright lines, marks as spaces, spellings made equal. Null counts as empty."""
+    out = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    out = F.trim(F.regexp_replace(out, MARKS, " "))
+    for old, new in SPELLINGS:
+        out = F.replace(out, F.lit(old), F.lit(new))
     return out
 
 
-def flattened(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
-
-
 def license_table(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license_id, license_digest, notice) of known licences; a digest that several texts share keeps the smallest identifier."""
     rows = spark.createDataFrame(LICENSES if licenses is None else licenses, "license_id string, text string")
-    whole = rows.select("license_id", flattened(canonical_lines(F.col("text"))).alias("c"), (~F.trim(F.col("text")).contains("\n")).alias("notice"))
+    whole = rows.select("license_id", canonical(F.col("text")).alias("c"), (~F.trim(F.col("text")).contains("\n")).alias("notice"))
     return whole.groupBy(F.sha2("c", 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"), F.bool_or("notice").alias("notice"))
 
 
@@ -107,48 +94,47 @@ def license_scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", t
         raise ValueError(f"more than {most_notices} one-line notices")
     digests = F.array(*[F.lit(r["license_digest"]) for r in known]) if known else F.array().cast("array<string>")
     names = F.create_map(*[x for r in known for x in (F.lit(r["license_digest"]), F.lit(r["license_id"]))]) if known else F.expr("cast(map() as map<string,string>)")
-    # a notice's line mentions a licence by one of these words after canonical spelling; others need no digest
-    hinted = lambda x: x.rlike("licens|permission|copyright|public domain|released|redistribut|warrant") if all_hinted else F.lit(True)
-    all_hinted = licenses is not None and bool(known) and _hinted(licenses)
-    lines = lambda c: F.transform(F.filter(F.split(c, "\n"), hinted), lambda x: F.sha2(F.trim(x), 256))
-    found = lambda c: F.array_sort(F.array_distinct(F.transform(F.array_intersect(digests, lines(c)), lambda d: F.element_at(names, d))))
-    rows = docs.select(
-        F.col(id_col),
-        let(
-            canonical_lines(F.col(text_col)),
-            lambda c: F.struct(F.sha2(flattened(c), 256).alias("canonical_digest"), (F.array_join(found(c), ",") if known else F.lit("")).alias("notice_ids")),
-        ).alias("_r"),
-    ).select(id_col, "_r.*")
+    # only short lines that name such a word after folding can be notices with one; any other notice set is compared with all lines
+    hint = NOTICE_HINT if _hinted({r["license_digest"] for r in known}) else "^"
+    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(hint))
+    found = F.array_intersect(digests, F.transform(lines, lambda x: F.sha2(canonical(x), 256)))
+    notice_ids = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: F.element_at(names, d)))), ",") if known else F.lit("")
+    rows = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col)), 256).alias("canonical_digest"), notice_ids.alias("notice_ids"))
     ids = licenses.where(F.col("license_digest") != F.sha2(F.lit(""), 256)).select("license_digest", "license_id")
     return rows.join(ids, F.col("canonical_digest") == F.col("license_digest"), "left").select(id_col, "canonical_digest", "license_id", "notice_ids")
 
 
-def _hinted(licenses: DataFrame) -> bool:
-    """Whether every notice has a hint word. Digests hide the words, so only the built-in notices are known to have one."""
-    mine = {r["license_digest"] for r in license_table(licenses.sparkSession).where("notice").collect()}
-    return {r["license_digest"] for r in licenses.where("notice").select("license_digest").collect()} <= mine
+NOTICE_HINT = "(?i)licen[sc]"
+
+
+def _hinted(digests: set[str]) -> bool:
+    """Whether all are built-in notices, each of which has the hint."""
+    import hashlib
+
+    fold = lambda t: re.sub(MARKS, " ", t.lower()).strip()
+    mine = {hashlib.sha256(fold(t).encode()).hexdigest() for _, t in LICENSES if "\n" not in t and re.search(NOTICE_HINT, t) and not any(old in fold(t) for old, _ in SPELLINGS)}
+    return digests <= mine
 
 
 def oracle() -> str:
     """The same in DuckDB SQL over documents, for the built-in licences."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
 
-    def lines(column: str) -> str:
-        out = f"regexp_replace(lower(coalesce({column}, '')), {quote(COPYRIGHT_LINE)}, '', 'g')"
-        out = f"regexp_replace({out}, {quote(MARKS)}, ' ', 'g')"
-        for pattern, replacement in SPELLINGS:
-            out = f"regexp_replace({out}, {quote(pattern)}, {quote(_group(replacement, chr(92)))}, 'g')"
+    def canon(column: str) -> str:
+        out = f"regexp_replace(translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quote(COPYRIGHT_LINE)}, '', 'g')"
+        out = f"trim(regexp_replace({out}, {quote(MARKS)}, ' ', 'g'))"
+        for old, new in SPELLINGS:
+            out = f"replace({out}, {quote(old)}, {quote(new)})"
         return out
 
-    flat = lambda column: f"trim(regexp_replace({column}, '[ \n]+', ' ', 'g'))"
     values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in LICENSES)
     return f"""
 WITH known_texts(license_id, body) AS (VALUES {values}),
-known_lines AS (SELECT license_id, {lines("body")} AS c, NOT contains(trim(body), '\n') AS notice FROM known_texts),
-known AS (SELECT sha256({flat("c")}) AS d, min(license_id) AS license_id, bool_or(notice) AS notice FROM known_lines GROUP BY 1),
-canon AS (SELECT row_number() OVER () AS r, doc_id, {lines("text")} AS c FROM documents),
-line AS (SELECT r, unnest(string_split(c, '\n')) AS x FROM canon),
-notices AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM line JOIN known ON notice AND d = sha256(trim(x)) GROUP BY r)
-SELECT doc_id, sha256({flat("c")}) AS canonical_digest, known.license_id AS license_id, coalesce(ids, '') AS notice_ids
-FROM canon LEFT JOIN notices USING (r) LEFT JOIN known ON d = sha256({flat("c")}) AND d <> sha256('')
+known AS (SELECT sha256({canon("body")}) AS d, min(license_id) AS license_id, bool_or(NOT contains(trim(body), '\n')) AS notice FROM known_texts GROUP BY 1),
+numbered AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+line AS (SELECT r, unnest(string_split(text, '\n')) AS x FROM numbered),
+notices AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids FROM line JOIN known ON notice AND d = sha256({canon("x")}) GROUP BY r),
+whole AS (SELECT r, doc_id, sha256({canon("text")}) AS c FROM numbered)
+SELECT doc_id, c AS canonical_digest, known.license_id AS license_id, coalesce(ids, '') AS notice_ids
+FROM whole LEFT JOIN notices USING (r) LEFT JOIN known ON d = c AND d <> sha256('')
 """

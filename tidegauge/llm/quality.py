@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import SPACES, cut, let, words_of
+from tidegauge.llm.common import SPACES, cut, let, numbers, words_of
 
 #: n-grams fall into this many buckets; both multinomials have one weight for each.
 BUCKETS = 16_384
@@ -139,7 +139,7 @@ def quality_rules(
     weights = ratio_weights(docs, trusted, id_col, text_col, n)
     row = weights.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("w"))
     vector = [float(x) for x in row.first()["w"]]  # n doubles, a parameter
-    literal = F.from_json(F.lit("[" + ",".join(map(repr, vector)) + "]"), "array<double>")
+    literal = numbers(vector, "double")
     scored = docs.select(
         F.col(id_col).alias(id_col),
         base_rules(F.col(text_col), few, places_limit).alias("_r"),

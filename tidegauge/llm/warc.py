@@ -81,7 +81,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 if out is None:
                     files, path = _fs(name)
                     files.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = files.open_output_stream(path)
+                    out = files.open_output_stream(path, compression=None)
                 made = record(i.as_py(), url.as_py(), body.as_py(), digest.as_py(), refers.as_py())
                 out.write(made)
                 total += len(made)
