@@ -68,7 +68,7 @@ def _matches(docs: DataFrame, windows: DataFrame, size: int, limit: int) -> Data
     keyed = cut(windows.withColumn("keys", shingle_keys(F.col("words"), size)), "keyed")
     vocabulary = cut(keyed.select(F.explode("keys").alias("key")).distinct(), "shingles")
     rows = vocabulary.count()
-    places = docs.select("digest", F.posexplode(shingle_keys(normal_words(F.col("_x")), size)).alias("at", "key"))
+    places = docs.select("digest", F.posexplode(let(normal_words(F.col("_x")), lambda w: shingle_keys(w, size))).alias("at", "key"))
     if rows > limit:  # what the bitmap lets through is shuffled
         bitmap, longs = _sieve(vocabulary, rows)
         places = places.where(_passes(F.col("key"), numbers(bitmap, "bigint"), longs))
