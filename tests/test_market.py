@@ -145,7 +145,7 @@ def test_epoch_units(spark):
 
 
 def test_store(spark, tmp_path):
-    kind = spark.sql("select 'd' day, 1L id, 1d value").schema
+    kind = spark.createDataFrame([], "day string, id long, value double").schema
     store = Store(spark, str(tmp_path), {"t": TableConfig("t", kind, ("day",), ("id",), ("id",))})
     row = lambda *r: spark.createDataFrame(list(r), kind)
     store.append("t", row(("a", 2, 1.0), ("a", 1, 1.0), (None, 1, 5.0)))
