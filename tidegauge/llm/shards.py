@@ -162,7 +162,7 @@ class ShardStore:
         return self._read(found["shards"], found["schema"])
 
 
-def shard_table(df: DataFrame, folder: str, arrival_bytes: int = 4 << 20, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> ShardStore:
+def shard_table(df: DataFrame, folder: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> ShardStore:
     """Append df as arrivals, compact them and drop what was superseded; the store's current version has exactly df's rows,
     nulls, repeated rows and all columns included. An arrival is what one scan task reads."""
     store = ShardStore(df.sparkSession, folder, target_bytes, fan_in)
