@@ -244,7 +244,7 @@ def backtest(targets: DataFrame, bars: DataFrame, config: Config | None = None,
     tagged = market.withColumn("_k", F.lit("bar")).unionByName(targets.select("run", "day", "symbol", "weight").withColumn("_k", F.lit("target")), allowMissingColumns=True)
     tagged = tagged.unionByName(claims.withColumn("_k", F.lit("action")), allowMissingColumns=True)
 
-    def walk(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         by_day: dict = defaultdict(dict)
         wanted: dict = defaultdict(dict)
         claims = []
