@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge.errors import DataError, RequestError, ResultTooLargeError
 from tidegauge.functions import calendar, values
 from tidegauge.operators import bars, checks, tables, trading, versions
+from tidegauge.plans import views  # noqa: F401  (registers its queries)
 from tidegauge.plans.market import ORACLE_SQL, QUERIES
 from tidegauge.sources.store import Store, TableConfig
 

@@ -221,21 +221,23 @@ def run_sessions(run: str, bars: dict[date, dict[str, dict]], targets: dict[date
     return out
 
 
-def backtest(targets: DataFrame, bars: DataFrame, config: Config | None = None, actions: DataFrame | None = None) -> DataFrame:
+def backtest(targets: DataFrame, bars: DataFrame, config: Config | None = None, actions: DataFrame | None = None, own_bars: bool = False) -> DataFrame:
     """Rows of SCHEMA for every run of targets.
 
     targets: run, day, symbol, weight: a whole portfolio at the close of a day; symbol null (weight 0) sells everything.
     bars: day, symbol, open, close, volume, up_limit, down_limit, suspended; a repeated (day, symbol) is a DataError.
     actions: symbol, record_date, ex_date, pay_date, list_date, cash and shares per share. Each run takes the bars of its own
-    symbols by a join, and all sessions of the calendar from its first target on; a run without targets has no rows.
+    symbols by a join, and all sessions of the calendar from its first target on; a run without targets has no rows. own_bars:
+    bars have a column run too, and a run takes only its own (prices of a scenario).
     """
     config = config or Config()
     settings = asdict(config)
     first = targets.groupBy("run").agg(F.min("day").alias("first"))
     names = targets.where("symbol is not null").select("run", "symbol").distinct()
-    volume = F.lag("volume").over(Window.partitionBy("symbol").orderBy("day"))
-    rows = bars.withColumn("previous_volume", volume).select("day", "symbol", "open", "close", "up_limit", "down_limit", "suspended", "previous_volume")
-    own = names.join(rows, "symbol").join(first, "run").where("day >= first").select("run", "day", "symbol", "open", "close", "up_limit", "down_limit", "suspended", "previous_volume")
+    keys = ["run", "symbol"] if own_bars else ["symbol"]
+    volume = F.lag("volume").over(Window.partitionBy(*keys).orderBy("day"))
+    rows = bars.withColumn("previous_volume", volume).select(*keys, "day", "open", "close", "up_limit", "down_limit", "suspended", "previous_volume")
+    own = names.join(rows, keys).join(first, "run").where("day >= first").select("run", "day", "symbol", "open", "close", "up_limit", "down_limit", "suspended", "previous_volume")
     # sessions on which none of a run's symbols has a bar still end with an account row
     days = first.join(bars.select("day").distinct(), F.col("day") >= F.col("first")).select("run", "day")
     market = own.unionByName(days, allowMissingColumns=True)
