@@ -334,3 +334,11 @@ def test_pipeline(spark):
     assert left == sorted(left, reverse=True) and 0 < left[-1] < docs.count()
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.select("doc_id").distinct().count() == left[-1]
+
+
+def test_toxicity_training_does_not_depend_on_the_order_of_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    one = toxicity.train(docs, labels)
+    for moved in (docs.repartition(7, "source"), docs.orderBy(F.desc("doc_id")).coalesce(1)):
+        other = toxicity.train(moved, labels)
+        assert (one.terms, one.intercept, one.slope) == (other.terms, other.intercept, other.slope)

@@ -147,7 +147,7 @@ def choose_terms(toxic: list[set[str]], lift: dict[str, float], least: int) -> l
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Lexicon:
     """A lexicon learned from at most most_toxic and most_clean labelled rows of docs (those of the smallest hashed ids).
 
-    One of texts with an equal smallest shingle hash (near copies) is used. Terms' texts are counted in tasks; the terms
+    Of texts with an equal smallest shingle hash (near copies) that with the smallest id is used. Terms' texts are counted in tasks; the terms
     that at least three toxic texts have, and toxic texts LEAST_LIFT times as often as clean ones, are candidates. Without
     toxic rows the built-in terms remain. Rows with null ids or labels, or null texts, teach nothing.
     """
@@ -157,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = cut(ids[0].union(ids[1]), "sample_ids")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")).where("_x is not null").join(F.broadcast(ids), "_id")  # at most most_toxic + most_clean ids
     copies = let(F.split(F.col("_x"), r"\s+"), lambda w: F.array_min(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)))))
-    sample = cut(rows.withColumn("_k", copies).dropDuplicates(["_k"]).select("_x", "_y"), "sample")
+    one = rows.groupBy(copies.alias("_k")).agg(F.min(F.struct("_id", "_x", "_y")).alias("r"))
+    sample = cut(one.select("r._x", "r._y"), "sample")
     totals = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([round(lexicon.feature(t), 2) for t in batch.column(0).to_pylist()]), batch.column(1)], ["x", "y"])
 
-    points = sample.mapInArrow(feature, "x double, y int").groupBy("x", "y").count().collect()  # features are rounded: a bounded table of points
+    points = sorted(sample.mapInArrow(feature, "x double, y int").groupBy("x", "y").count().collect())  # features are rounded: a bounded table of points
     x, y, n = (np.array([r[k] for r in points], float) for k in ("x", "y", "count"))
     lexicon.intercept, lexicon.slope = logistic(x, y, n)
     return lexicon
