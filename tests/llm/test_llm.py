@@ -342,3 +342,27 @@ def test_toxicity_training_does_not_depend_on_the_order_of_rows(spark):
     for moved in (docs.repartition(7, "source"), docs.orderBy(F.desc("doc_id")).coalesce(1)):
         other = toxicity.train(moved, labels)
         assert (one.terms, one.intercept, one.slope) == (other.terms, other.intercept, other.slope)
+
+
+def test_toxicity_training_drops_only_copies_of_one_label(spark):
+    tail = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    shared = "the common passage that many unrelated texts of this table have in the middle of their own words"
+    texts = [f"{tail(k)} {shared} {tail(k + 100)}" for k in range(30)]
+    long = " ".join(f"v{j}" for j in range(3000))
+    texts += [long, long.upper() + "\n", long + " v3000", long, None]  # copies: exact, in another case, near; one is toxic
+    toxic = [k % 3 == 0 for k in range(30)] + [0, 0, 0, 1, 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(y)) for k, y in enumerate(toxic)], "doc_id long, toxic int")
+    for limit in (100, 0):
+        got = toxicity.labelled(docs, labels, broadcast_ids=limit)
+        assert sorted((r._id, r._y) for r in got.collect()) == [(k, int(toxic[k])) for k in (*range(31), 33)]
+
+
+def test_toxicity_learns_from_texts_that_share_a_word_pair(spark):
+    # every text has the same passage; the smallest ids are clean, so a collapse by a shared pair would lose all toxic rows
+    passage = " ".join(f"p{j} q{j}" for j in range(400))
+    rows = [(k, f"{passage} own{k} words{k} {'zorgle blint' if k >= 40 else 'kind note'} end{k}") for k in range(80)]
+    docs = spark.createDataFrame([(k, t if k % 2 else f"u{k} " * 300 + t) for k, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k >= 40)) for k in range(80)], "doc_id long, toxic int")
+    lex = toxicity.train(docs, labels)
+    assert any(t.strip().startswith("zorg") for t in lex.terms) and lex.score("you zorgle") > 0.5 > lex.score("a kind note")

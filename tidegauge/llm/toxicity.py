@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut, let
+from tidegauge.llm import simhash
+from tidegauge.llm.common import cut
+from tidegauge.llm.components import connected_components
 
 # Terms that count as toxic without training, and their weight.
 SEED_TERMS = ["asshole", "bastard", "bitch", "clown", "dickhead", "disgusting", "dumbass", "fuck", "idiot", "imbecile", "loser", "moron", "pathetic", "retard", "scum", "shit", "stupid", "trash", "worthless"]
@@ -27,6 +29,8 @@ HOMOGLYPHS = str.maketrans(
 # Digits and marks that stand for letters inside a word.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
+#: Labelled ids up to this many are broadcast; more are shuffled.
+BROADCAST_IDS = 4_000_000
 #: Bounds of the sample that terms are learned from, and of the lexicon.
 MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 4_000, 16_000, 2_000
 #: A term is a word or a beginning of words of at least this many letters; it counts if toxic texts have it this many times as often.
@@ -144,21 +148,39 @@ def choose_terms(toxic: list[set[str]], lift: dict[str, float], least: int) -> l
     return chosen
 
 
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(_id, digest, _y): the labelled rows of docs without copies, each by its id and the MD5 of its text.
+
+    Copies are rows of one label whose op4 fingerprints are equal or linked (at most simhash.BITS bits apart, or through
+    others that are); that with the smallest id stays. Copies with different labels stay, one for each label. An id with
+    several texts has a row for each, and an id with both labels is toxic. Null ids, labels and texts give no row.
+    """
+    marks = cut(labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y")), "marks")
+    if marks.count() <= broadcast_ids:  # beyond it, a shuffle join
+        marks = F.broadcast(marks)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_x")).where("_x is not null").join(marks, "_id")
+    keyed = rows.select(F.struct("_id", F.md5(F.col("_x").cast("binary")).alias("digest"), "_y").alias("key"), "_x")
+    prints = simhash.fingerprints(keyed, "key", "_x").select("fp", F.col("_id._y").alias("_y"), F.struct("_id._id", "_id.digest").alias("r"))
+    equal = cut(prints.groupBy("fp", "_y").agg(F.min("r").alias("r")), "equal")
+    roots = connected_components(simhash.fingerprint_links(equal.select("fp").distinct()))
+    linked = equal.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("label"), "_y").agg(F.min("r").alias("r"))
+    return linked.select("r._id", "r.digest", "_y")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Lexicon:
     """A lexicon learned from at most most_toxic and most_clean labelled rows of docs (those of the smallest hashed ids).
 
-    Of texts with an equal smallest shingle hash (near copies) that with the smallest id is used. Terms' texts are counted in tasks; the terms
+    Copies are left out first, by labelled(), so the bounds count texts that differ. Terms' texts are counted in tasks; the terms
     that at least three toxic texts have, and toxic texts LEAST_LIFT times as often as clean ones, are candidates. Without
     toxic rows the built-in terms remain. Rows with null ids or labels, or null texts, teach nothing.
     """
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
+    known = cut(labelled(docs, labels, id_col, text_col, label_col), "labelled")
     order = F.xxhash64(F.col("_id"), F.lit(7))
-    ids = [marks.where(F.col("_y") == y).join(docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct(), "_id", "left_semi").orderBy(order, "_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
+    ids = [known.where(F.col("_y") == y).orderBy(order, "_id", "digest").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     ids = cut(ids[0].union(ids[1]), "sample_ids")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x")).where("_x is not null").join(F.broadcast(ids), "_id")  # at most most_toxic + most_clean ids
-    copies = let(F.split(F.col("_x"), r"\s+"), lambda w: F.array_min(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1)))))
-    one = rows.groupBy(copies.alias("_k")).agg(F.min(F.struct("_id", "_x", "_y")).alias("r"))
-    sample = cut(one.select("r._x", "r._y"), "sample")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_x")).where("_x is not null").join(F.broadcast(ids.select("_id").distinct()), "_id", "left_semi")  # at most most_toxic + most_clean ids
+    rows = rows.withColumn("digest", F.md5(F.col("_x").cast("binary"))).join(F.broadcast(ids), ["_id", "digest"])
+    sample = cut(rows.dropDuplicates(["_id", "digest"]).select("_x", "_y"), "sample")  # equal rows, once
     totals = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic:
