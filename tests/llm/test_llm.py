@@ -366,3 +366,27 @@ def test_toxicity_learns_from_texts_that_share_a_word_pair(spark):
     labels = spark.createDataFrame([(k, int(k >= 40)) for k in range(80)], "doc_id long, toxic int")
     lex = toxicity.train(docs, labels)
     assert any(t.strip().startswith("zorg") for t in lex.terms) and lex.score("you zorgle") > 0.5 > lex.score("a kind note")
+
+
+def test_packing_goes_on_while_there_is_a_gap(spark, monkeypatch):
+    # small partitions fill few sequences a round; stopping at the first round that fills few of them left 749
+    names, cut = [], packing.cut
+    monkeypatch.setattr(packing, "cut", lambda df, name: names.append(name) or cut(df, name))
+    lengths = np.random.default_rng(3).integers(1, 900, 1500).tolist()
+    items = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "_id long, piece int, start long, length long, ids_crc32 long").repartition(1).sortWithinPartitions("_id")
+    got = packing.pack(items, capacity=1000, partition_tokens=8_000)
+    fill, rows = Counter(), sorted(got.collect(), key=lambda r: (r.sequence_id, r.offset))
+    for r in rows:
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert sorted(r._id for r in rows) == list(range(1500)) and max(fill.values()) <= 1000
+    assert packing.gap(got, 1000) == (len(fill), packing.lower_bound(np.array(lengths), 1000))
+    assert len(fill) < 749 and names == ["pieces", *(f"packed{k}" for k in range(packing.ROUNDS))]
+
+
+def test_packing_stops_at_the_bound(spark, monkeypatch):
+    rounds, cut = [], packing.cut
+    monkeypatch.setattr(packing, "cut", lambda df, name: rounds.append(name) or cut(df, name))
+    items = spark.createDataFrame([(i, 0, 0, 60, i) for i in range(50)], "_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(items, capacity=100, partition_tokens=1_000)
+    assert packing.gap(got, 100) == (50, 50) and rounds == ["pieces", "packed0"]  # nothing can be saved, so nothing is dealt again

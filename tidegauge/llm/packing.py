@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.chunk_cache import Ids, by_bytes, worker
 from tidegauge.llm.common import cut
 
+LOG = logging.getLogger(__name__)
 #: Tokens of a sequence.
 CAPACITY = 4096
 #: Tokens that one partition packs: about 2,000 sequences.
@@ -44,7 +46,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """The largest bound on bins that these dual-feasible functions give: the identity, the rounding functions u_k and the
     threshold functions U_e, each summed over all lengths."""
-    n = np.bincount(lengths, minlength=capacity + 1).astype(object if len(lengths) > 1 << 40 else np.int64)
+    return lower_bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def lower_bound_of_counts(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """lower_bound() where counts[x] items have length x, for x from 0 to capacity."""
+    n = np.asarray(counts).astype(object if int(counts.sum()) > 1 << 40 else np.int64)
     x = np.arange(capacity + 1)
     best = -(-int((n * x).sum()) // capacity)
     for k in range(1, 21):
@@ -84,8 +91,8 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _packed(capacity: int, round_: int, last: bool):
-    """Packs a partition: rows stay if its bin count equals the bound, or their bin is full; others (kept false) go into the next round."""
+def _packed(capacity: int, round_: int):
+    """Packs a partition: rows in full bins are kept, others (kept false) can go into the next round."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -95,50 +102,65 @@ def _packed(capacity: int, round_: int, last: bool):
             return
         rows = pa.Table.from_batches(tables)
         order = np.lexsort([np.asarray(rows["piece"]), np.asarray(rows["u"]), -np.asarray(rows["length"])])
-        lengths = np.asarray(rows["length"])[order]
-        bins, offsets, fill = best_fit(lengths, capacity)
-        bound = lower_bound(lengths, capacity)
-        # a bin left partly empty is a gap even where the count is certified here: other partitions may have what fills it
-        open_bins = fill < capacity
-        kept = ~open_bins[bins] if not last else np.ones(len(bins), bool)
+        bins, offsets, fill = best_fit(np.asarray(rows["length"])[order], capacity)
         place = (round_ << 56) | (TaskContext.get().partitionId() << 28)
         out = rows.take(pa.array(order)).select(["_id", "piece", "start", "length", "ids_crc32", "u"])
-        for name, x in (("sequence_id", bins + place), ("offset", offsets), ("kept", kept), ("bins", np.full(len(bins), len(fill))), ("bound", np.full(len(bins), bound))):
+        for name, x in (("sequence_id", bins + place), ("offset", offsets), ("kept", (fill == capacity)[bins])):
             out = out.append_column(name, pa.array(x))
         yield from out.to_batches(max_chunksize=50_000)
 
     return run
 
 
+def bound_of(items: DataFrame, capacity: int = CAPACITY) -> int:
+    """The lower bound on the sequences of all items together: their lengths are counted, capacity rows at most."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in items.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    return lower_bound_of_counts(counts, capacity)
+
+
+def gap(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences, bound) of a packed table. Equal numbers certify that no packing has fewer sequences."""
+    return packed.where("offset = 0").count(), bound_of(packed, capacity)
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, partition_tokens: int = PARTITION_TOKENS, rounds: int = ROUNDS) -> DataFrame:
     """items with sequence_id and offset. Lengths are from 1 to capacity.
 
     A piece of full length is a sequence of its own. The others are dealt to partitions of about partition_tokens, each packed
-    best-fit decreasing and certified against the dual-feasible bounds of its lengths. Full sequences stay. Pieces in
-    sequences with a gap are exchanged: dealt anew, to as few partitions as partition_tokens allows, and packed again, until
-    one partition has them all, a round wins nothing, or the rounds are over.
+    best-fit decreasing. After each round the sequences of all partitions are held against the dual-feasible bound of all
+    lengths: if they are equal the packing is certified and final. Else full sequences stay, and pieces in sequences with a
+    gap are exchanged: dealt anew, to as few partitions as partition_tokens allows, and packed again, until the bound is met,
+    one partition has them all, or the rounds are over. The round with the fewest sequences is
+    returned; what it has beyond the bound is logged, and gap() tells it of the result.
+
+    A partition is not final by a bound of its own lengths: what it leaves open may be filled by pieces of others.
     """
     kind = items.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, u long, sequence_id long, offset long, kept boolean, bins long, bound long"
+    schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, u long, sequence_id long, offset long, kept boolean"
     columns = ["_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     numbered = cut(items.withColumn("u", F.monotonically_increasing_id()), "pieces")
     done = [numbered.where(F.col("length") == capacity).withColumn("sequence_id", F.col("u").bitwiseOR(F.lit(1 << 62))).withColumn("offset", F.lit(0).cast("long")).select(columns)]
     left = numbered.where(F.col("length") < capacity)
-    before = None
+    bound, closed, best, fewest = bound_of(left, capacity), 0, done, None
     for k in range(rounds):
         tokens = left.agg(F.sum("length")).first()[0] or 0
         if not tokens:
             break
         n = max(1, -(-tokens // partition_tokens))
-        last = n == 1 or k == rounds - 1 or (before is not None and tokens > 0.95 * before)
         dealt = left.repartition(n, F.xxhash64("u", F.lit(k)))
-        packed = cut(dealt.select("_id", "piece", "start", "length", "ids_crc32", "u").mapInArrow(_packed(capacity, k, last), schema), f"packed{k}")
-        done.append(packed.where("kept").select(columns))
-        if last:
+        packed = cut(dealt.select("_id", "piece", "start", "length", "ids_crc32", "u").mapInArrow(_packed(capacity, k), schema), f"packed{k}")
+        # each sequence has one piece at offset 0
+        made, full = packed.where("offset = 0").select(F.count("*"), F.count_if("kept")).first()
+        if fewest is None or closed + made < fewest:
+            best, fewest = [*done, packed.select(columns)], closed + made
+        LOG.info("packing round %d: %d sequences beside those of full length, bound %d, gap %d", k, closed + made, bound, closed + made - bound)
+        if fewest == bound or n == 1:
             break
-        left, before = packed.where("not kept").drop("sequence_id", "offset", "kept", "bins", "bound"), tokens
-    out = done[0]
-    for x in done[1:]:
+        done, closed, left = [*done, packed.where("kept").select(columns)], closed + full, packed.where("not kept").drop("sequence_id", "offset", "kept")
+    out = best[0]
+    for x in best[1:]:
         out = out.unionByName(x)
     return out
 
