@@ -390,3 +390,18 @@ def test_packing_stops_at_the_bound(spark, monkeypatch):
     items = spark.createDataFrame([(i, 0, 0, 60, i) for i in range(50)], "_id long, piece int, start long, length long, ids_crc32 long")
     got = packing.pack(items, capacity=100, partition_tokens=1_000)
     assert packing.gap(got, 100) == (50, 50) and rounds == ["pieces", "packed0"]  # nothing can be saved, so nothing is dealt again
+
+
+def test_dedup_judges_rows_of_one_id_apart(spark):
+    x, y, z = (" ".join(f"{c}{j}" for j in range(80)) for c in "xyz")
+    rows = [(1, y, "a", None), (5, x, "b", 1), (5, y.upper(), "c", 2), (5, x, "b", 1), (7, z, "e", 3), (7, z, "d", 3), (None, z, "f", 3), (None, "no id", "g", 3), (None, "NO ID", "h", 3)]
+    kept = set()
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, _row string, _key long")
+        got = simhash.drop_near_duplicates(df.repartition(1))
+        assert got.columns == df.columns
+        kept.add(tuple(sorted(map(repr, got.collect()))))
+    assert len(kept) == 1
+    got = [eval(r.replace("Row", "dict")) for r in kept.pop()]
+    assert sorted(str((r["doc_id"], r["text"][:5].lower())) for r in got) == sorted(str((i, t[:5].lower())) for i, t in [(1, y), (5, x), (7, z), (None, "no id")])
+    assert {r["_row"] for r in got} <= {r[2] for r in rows} and {r["_key"] for r in got} <= {None, 1, 2, 3}

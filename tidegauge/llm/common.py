@@ -40,6 +40,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as make it none of columns (in any case, as Spark compares them)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and no other letter. (lower() maps other letters too, and is slow where there are any: such texts are
     split before their capitals.)"""

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import LOWER_BYTES, cut
+from tidegauge.llm.common import LOWER_BYTES, cut, free_name
 from tidegauge.llm.components import connected_components
 
 #: Words in a shingle, and the most bits that linked fingerprints differ in.
@@ -233,31 +233,33 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     it runs on distinct fingerprints, so a group of copies of any size is one row.
     """
     rows = cut(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = cut(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")
-    roots = connected_components(fingerprint_links(distinct, bits, run))
-    label = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("label"))
+    label = _labelled(rows, F.min("_id"), bits, run)
     smallest = label.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = label.select("fp", "label").join(smallest, "label").select("fp", "component_id")
     out = rows.join(classes, "fp")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def _labelled(rows: DataFrame, least, bits: int, run: int) -> DataFrame:
+    """(fp, least, label) of each fingerprint of rows; `least` is an aggregate of its rows, label names its component."""
+    distinct = cut(rows.groupBy("fp").agg(least.alias("least")), "distinct")
+    roots = connected_components(fingerprint_links(distinct, bits, run))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("label"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, bits: int = BITS, run: int = RUN) -> DataFrame:
     """The columns of docs for one row of each component: that with the smallest id, and one of equal rows.
 
-    A component without any id keeps one of its rows.
+    Rows are known by id, MD5 of the text and XXH64 of the other columns (but maps), not by the id alone: rows of one id in
+    different components are judged apart, and of several rows with the smallest id in a component that with the smallest
+    such key stays, however they arrive. A component without any id keeps the row of the smallest key.
     """
-    found = cut(simhash_components(docs, id_col, text_col, **options), "components")
-    firsts = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(firsts, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = found.where(F.col("component_id").isNull()).select("fingerprint").distinct()
-    if nameless.isEmpty():
-        return kept.select(*docs.columns)
-    lost = docs.where(F.col(id_col).isNull())
-    prints = fingerprints(lost.select(F.col(text_col), F.to_json(F.struct(*docs.columns)).alias("_row")), "_row", text_col).select("_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).join(nameless, "fingerprint", "left_semi")
-    # components without ids are rare: their rows' fingerprints are linked once more among themselves
-    own = prints.select("_id", F.conv("fingerprint", 16, -10).cast("long").alias("fp"))
-    roots = connected_components(fingerprint_links(own.select("fp").distinct(), options.get("bits", BITS), options.get("run", RUN)))
-    first = own.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("label")).agg(F.min("_id").alias("_row"))
-    one = lost.withColumn("_row", F.to_json(F.struct(*docs.columns))).join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.select(*docs.columns).unionByName(one.select(*docs.columns))
+    key = free_name("_key", docs.columns)
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind]
+    text = F.md5(F.col(text_col).cast("string").cast("binary"))
+    # rows with one key have one text, so they are in one component
+    keyed = docs.withColumn(key, F.concat_ws("|", F.coalesce(text, F.lit("-")), F.xxhash64(*others) if others else F.lit(0), F.col(id_col).cast("string")))
+    named = keyed.select(F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col(key).alias("key")).alias("_r"), F.col(text_col).alias("_t"))
+    rows = cut(fingerprints(named, "_r", "_t", words), "fingerprints")
+    firsts = cut(_labelled(rows, F.min("_id"), bits, run).groupBy("label").agg(F.min("least").alias("r")).select(F.col("r.key").alias(key)), "firsts")
+    return keyed.join(firsts, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
