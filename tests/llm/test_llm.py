@@ -405,3 +405,10 @@ def test_dedup_judges_rows_of_one_id_apart(spark):
     got = [eval(r.replace("Row", "dict")) for r in kept.pop()]
     assert sorted(str((r["doc_id"], r["text"][:5].lower())) for r in got) == sorted(str((i, t[:5].lower())) for i, t in [(1, y), (5, x), (7, z), (None, "no id")])
     assert {r["_row"] for r in got} <= {r[2] for r in rows} and {r["_key"] for r in got} <= {None, 1, 2, 3}
+
+
+def test_decontamination_keeps_a_column_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "some clean text", "mine", "other"), (2, "the secret question of the item", "x", "y")], "doc_id long, text string, _digest string, __digest string")
+    items = spark.createDataFrame([(1, "the secret question of the item")], "item_id long, text string")
+    got = decontaminate.drop_contaminated(docs, items)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "some clean text", "mine", "other")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import NON_WORD, cut, let, lower_ascii, numbers, words_of
+from tidegauge.llm.common import NON_WORD, cut, free_name, let, lower_ascii, numbers, words_of
 
 #: A word, as it stands in a text whose capitals are not yet lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -150,7 +150,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     digest = F.sha2(F.col(text_col), 256)
     judged = contamination(docs.select(digest.alias("_digest"), F.col(text_col).alias("_text")), items, "_digest", "_text", **options)
     bad = cut(judged.where("contaminated").select("_digest").distinct(), "contaminated")
-    return docs.withColumn("_digest", digest).join(bad, "_digest", "left_anti").select(*docs.columns)
+    own = free_name("_digest", docs.columns)
+    return docs.withColumn(own, digest).join(bad.withColumnRenamed("_digest", own), own, "left_anti").drop(own)
 
 
 ORACLE = r"""
