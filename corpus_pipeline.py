@@ -40,7 +40,8 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Fingerprints, learned models and packing are beyond SQL; tests hold the stages against brute force.
+#: Fingerprints, learned models and packing are beyond SQL; a test holds each stage's rows, and those of run(), against a plain version
+#: on sf0.001 (the two models are trained by the package there, and languages are predicted by its Model one text at a time).
 ORACLE_SQL = None
 
 

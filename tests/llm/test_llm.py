@@ -412,3 +412,83 @@ def test_decontamination_keeps_a_column_named_like_its_own(spark):
     items = spark.createDataFrame([(1, "the secret question of the item")], "item_id long, text string")
     got = decontaminate.drop_contaminated(docs, items)
     assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "some clean text", "mine", "other")]
+
+
+def test_pipeline_equals_a_plain_version(spark):
+    """Each stage's rows and run()'s, against loops over lists. Models are trained by the package; their use is plain."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels, items = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("labels", "benchmark"))
+    items = [(r.item_id, r.text) for r in items.collect()]
+
+    def plain_toxic(now, rows):
+        lex = toxicity.train(now.where(~toxicity.held_out()), labels)
+
+        def weight(folded):
+            places = lambda t: [m.start() for m in re.finditer(f"(?={re.escape(t)})", folded)]
+            excused = [(s, s + len(toxicity.fold(p))) for p in lex.exceptions for s in places(toxicity.fold(p))]
+            best = {}
+            for t, w in lex.terms.items():
+                for s in places(t) if t in folded else ():
+                    best[s] = max(w, best.get(s, 0))
+            return sum(w for s, w in best.items() if not any(a <= s < b for a, b in excused))
+
+        def score(text):
+            folded = toxicity.fold(text or "")
+            x = lex.intercept + lex.slope * weight(folded) / (1 + math.log1p(folded.count(" ") / 200))
+            return 1 / (1 + math.exp(-max(-30, min(30, x))))
+
+        return [r for r in rows if score(r.text) < 0.5]
+
+    def plain_languages(now, rows):
+        model = langid.train(now.where(~langid.held_out()))
+        found = [(r, model.predict([r.text])[0]) for r in rows]
+        return [r for r, (lang, share, _) in found if lang in model.languages and share >= 0.25]
+
+    def plain_copies(now, rows):
+        first = {}
+        for r, c in zip(rows, classes([print_of(r.text) for r in rows]), strict=True):
+            if c not in first or r.doc_id < first[c].doc_id:
+                first[c] = r
+        return list(first.values())
+
+    def plain_clean(now, rows):
+        norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        windows = {tuple(v[k : k + 13]) for v in (norm(t) for _, t in items) for k in range(max(1, len(v) - 12)) if v}
+        out = []
+        for r in rows:
+            w, hit = norm(r.text), set()
+            for n in {len(x) for x in windows}:
+                for a in range(len(w) - n + 1):
+                    if tuple(w[a : a + n]) in windows:
+                        hit.update(range(a, a + n))
+            if not hit or 20 * len(hit) < len(w):
+                out.append(r)
+        return out
+
+    now, rows = docs, docs.collect()
+    for (name, stage), plain in zip(corpus_pipeline.STAGES[:-1], (plain_toxic, plain_languages, plain_copies, plain_clean), strict=True):
+        rows = plain(now, rows)
+        now = spark.createDataFrame(stage(spark, now, DATA).collect(), docs.schema)
+        assert sorted(map(repr, now.collect())) == sorted(map(repr, rows)), name
+    library = chunk_cache.Library("word_bpe_49k.json").tokenizer
+    want = []
+    for r in rows:
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(r.doc_id, k, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096))]
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    fill = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    lengths = sorted((w[3] for w in want), reverse=True)
+    open_ = []
+    for n in lengths:
+        room = [i for i, x in enumerate(open_) if x + n <= 4096]
+        if room:
+            open_[max(room, key=open_.__getitem__)] += n
+        else:
+            open_.append(n)
+    assert sorted(fill.values()) == sorted(open_)
