@@ -492,3 +492,15 @@ def test_pipeline_equals_a_plain_version(spark):
         else:
             open_.append(n)
     assert sorted(fill.values()) == sorted(open_)
+
+
+@pytest.mark.parametrize("name,license_id", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("LGPL-3", "LGPL-3.0-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_entire_licences_are_known(spark, name, license_id):
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no licence texts on this machine")
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    docs = spark.createDataFrame([(1, text), (2, text.upper()), (3, text + " more")], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in license_scan.license_scan(docs, license_scan.license_table(spark)).collect()}
+    assert got[1] == got[2] == license_id and got[3] is None

@@ -49,6 +49,23 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
 ]
 
+# SHA-256 of the canonical form of entire licences that are too long to quote (the FSF's, ASF's, Mozilla's and CC's plain texts).
+WHOLE_TEXTS = [
+    ("Apache-2.0", "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2-only", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3-only", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "312d60d6637eaa5485742576ef2bf899e0513899a4e98cc9a1a6c688423c3ca6"),
+    ("MPL-2.0", "92e88af3b436afcb6eef8128c9d1a7b2c6312377163ae31dfbacec094f33ab64"),
+]
+
 # Lines that name a copyright holder or reserve rights; they are dropped.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t]+(\(c\)|©|[0-9]{4}|<year>|\[yyyy\])|\(c\)[ \t]+|©|all rights reserved\.?[ \t]*$)[^\n]*$"
 # Runs of ASCII marks, Latin-1 marks and typographic punctuation count as one space.
@@ -74,10 +91,15 @@ def canonical(text: Column) -> Column:
 
 
 def license_table(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(license_id, license_digest, notice) of known licences; a digest that several texts share keeps the smallest identifier."""
+    """(license_id, license_digest, notice) of known licences; a digest that several texts share keeps the smallest identifier.
+
+    Without an own list these are LICENSES and WHOLE_TEXTS; the SQL has LICENSES only."""
     rows = spark.createDataFrame(LICENSES if licenses is None else licenses, "license_id string, text string")
     whole = rows.select("license_id", canonical(F.col("text")).alias("c"), (~F.trim(F.col("text")).contains("\n")).alias("notice"))
-    return whole.groupBy(F.sha2("c", 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"), F.bool_or("notice").alias("notice"))
+    known = whole.select(F.sha2("c", 256).alias("license_digest"), "license_id", "notice")
+    if licenses is None:
+        known = known.union(spark.createDataFrame([(d, i, False) for i, d in WHOLE_TEXTS], known.schema))
+    return known.groupBy("license_digest").agg(F.min("license_id").alias("license_id"), F.bool_or("notice").alias("notice"))
 
 
 def license_scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_notices: int = 10_000) -> DataFrame:
