@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,8 +15,9 @@ from tidegauge.llm.components import connected_components
 
 #: Words in a shingle, and the most bits that linked fingerprints differ in.
 SHINGLE, BITS = 3, 2
-#: A run of fingerprints that agree in a block and are more than this many is dealt out again by further blocks.
-RUN = 20_000
+#: A run of fingerprints that one index is built over has at most this many, and about AIM on the average; longer ones are dealt
+#: out again by longer patterns.
+RUN, AIM = 20_000, 8_192
 #: Shingles whose bits are added up at once.
 STEP = 1 << 16
 FAN = 8
@@ -65,6 +68,24 @@ def block_masks(bits: int = BITS, levels: int = 3) -> list[list[tuple[int, int]]
     return out
 
 
+def dealing(count: int, run: int = RUN, bits: int = BITS) -> list[list[tuple[int, int]]]:
+    """How `count` distinct fingerprints are dealt to runs, in levels like those of block_masks.
+
+    A run of the first level is a range of the Gray order of fingerprints rotated so that a block leads: that order keeps
+    equal leading bits together, and a range is named by the block's first bits, as few as give AIM a run. Up to `run`
+    fingerprints are one run. What is too many for an index goes on to the whole blocks, and from there to blocks within.
+    """
+    blocks = block_masks(bits)
+    if count <= run:
+        return [[(0, 0)], *blocks]  # one run has every pair; nothing is dealt again
+    lead = max(1, math.ceil(math.log2(count / min(AIM, run))))
+    first = []
+    for _, mask in blocks[0]:
+        own = [i for i in range(64) if mask >> i & 1]
+        first.append((0, sum(1 << i for i in own[-lead:])))
+    return [first, [(k, mask) for k, (_, mask) in enumerate(blocks[0])], *blocks[1:]]
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """A fingerprint's place in Gray order: neighbours in this order share long patterns."""
     x = x.astype(np.uint64)
@@ -92,16 +113,15 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def gray_classes(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The class (place of its first member in Gray order) of each fingerprint, fps distinct: links join at most `bits` differing bits.
 
-    Upper nodes hold the pattern that their members share: mask and value. Two nodes' patterns are compared from the root
-    down, adding the differences in what each level newly fixes, and a pair of groups is pruned as soon as the sum exceeds
-    `bits`, or once all members of both are in one class. Work is done in slices, so memory is a multiple of the run's size.
+    Fingerprints are sorted by Gray rank, and FAN neighbours make a node, FAN nodes a node above. A node holds the pattern
+    that all below it share, as mask and value. Pairs of nodes are walked from the root down: what each level newly fixes
+    adds its differences, and a pair of groups is pruned as soon as the sum exceeds `bits`, or once all members of both are
+    in one class. Nodes with themselves come first, so that dense groups are in one class before groups are compared.
+    Work is done in slices, so memory is a multiple of the run's size.
     """
     order = np.argsort(gray_rank(fps), kind="stable")
     x = fps[order].astype(np.uint64)
     label = np.arange(len(x))
-    for d in range(1, min(FAN, len(x) - 1) + 1):
-        i = np.flatnonzero(np.bitwise_count(x[:-d] ^ x[d:]) <= bits)
-        _unite(label, i, i + d)
     alls, anys = [x], [x]
     while len(alls[-1]) > FAN:
         cuts = np.arange(0, len(alls[-1]), FAN)
@@ -111,17 +131,18 @@ def gray_classes(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
 
     def spread() -> tuple[list[np.ndarray], list[np.ndarray]]:
         low, high = [label], [label]
-        for level in alls[1:]:
+        for _ in alls[1:]:
             cuts = np.arange(0, len(low[-1]), FAN)
             low, high = [*low, np.minimum.reduceat(low[-1], cuts)], [*high, np.maximum.reduceat(high[-1], cuts)]
-            assert len(low[-1]) == len(level)
         return low, high
 
     low, high = spread()
+    stale = False
     top = len(alls) - 1
     i, j = np.triu_indices(len(alls[top]))
-    none = np.zeros(len(i), np.uint64)
-    todo = [(top, i, j, none, np.zeros(len(i), np.int64))]
+    far = np.argsort(i != j, kind="stable")[::-1]  # the last slice is walked first
+    i, j = i[far], j[far]
+    todo = [(top, i, j, np.zeros(len(i), np.uint64), np.zeros(len(i), np.int64))]
     while todo:
         level, i, j, fixed, sums = todo.pop()
         if len(i) > 4096:
@@ -129,59 +150,60 @@ def gray_classes(fps: np.ndarray, bits: int = BITS) -> np.ndarray:
             continue
         both = masks[level][i] & masks[level][j]
         sums = sums + np.bitwise_count((alls[level][i] ^ alls[level][j]) & both & ~fixed)
-        one = (low[level][i] == high[level][i]) & (low[level][j] == high[level][j]) & (low[level][i] == low[level][j])
-        stay = (sums <= bits) & ~one
+        stay = sums <= bits
+        if level == 0:
+            i, j = i[stay], j[stay]
+            apart = (i < j) & (label[i] != label[j])
+            if apart.any():
+                _unite(label, i[apart], j[apart])
+                stale = True
+            continue
+        if stale:
+            (low, high), stale = spread(), False
+        stay &= (low[level][i] != high[level][i]) | (low[level][j] != high[level][j]) | (low[level][i] != low[level][j])
         i, j, both, sums = i[stay], j[stay], both[stay], sums[stay]
         if not len(i):
             continue
-        if level == 0:
-            _unite(label, i[i < j], j[i < j])
-            low, high = spread()
-            continue
         n = len(alls[level - 1])
         ci = np.repeat(i[:, None] * FAN + np.arange(FAN), FAN, axis=1)
         cj = np.tile(j[:, None] * FAN + np.arange(FAN), FAN)
         real = (ci < n) & (cj < n) & (ci <= cj)
         rows = np.broadcast_to(np.arange(len(i))[:, None], ci.shape)[real]
-        todo.append((level - 1, ci[real], cj[real], both[rows], sums[rows]))
+        ci, cj = ci[real], cj[real]
+        far = np.argsort(ci != cj, kind="stable")[::-1]
+        todo.append((level - 1, ci[far], cj[far], both[rows][far], sums[rows][far]))
     out = np.empty(len(x), np.int64)
     out[order] = order[label]
     return out
 
 
 def run_links(path: np.ndarray, block: np.ndarray, fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the classes of each run (equal path and block; sorted by them): at most FAN a fingerprint."""
-    x, n = fps.view(np.uint64), len(fps)
+    """Links from members to the first of their class in each run (equal path and block; sorted by them), by the run's index."""
+    n = len(fps)
     same = (path[1:] == path[:-1]) & (block[1:] == block[:-1])
     starts = np.flatnonzero(np.concatenate([[True], ~same])) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, n))
-    a, b = [], []
-    run = np.repeat(np.arange(len(starts)), sizes)
-    short = np.repeat(sizes <= FAN + 1, sizes)
-    for d in range(1, min(FAN, n - 1) + 1):
-        i = np.flatnonzero((run[:-d] == run[d:]) & short[:-d])
-        i = i[np.bitwise_count(x[i] ^ x[i + d]) <= bits]
-        a.append(fps[i])
-        b.append(fps[i + d])
-    for k in np.flatnonzero(sizes > FAN + 1):
+    a, b = [fps[:0]], [fps[:0]]
+    for k in np.flatnonzero(sizes > 1):
         own = fps[starts[k] : starts[k] + sizes[k]]
         root = gray_classes(own.view(np.uint64), bits)
         i = np.flatnonzero(root != np.arange(len(own)))
         a.append(own[i])
         b.append(own[root[i]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
+    return np.concatenate(a), np.concatenate(b)
 
 
 def fingerprint_links(distinct: DataFrame, bits: int = BITS, run: int = RUN) -> DataFrame:
     """(a, b): links among the distinct fingerprints in column fp whose components are those of all links of at most `bits` bits.
 
-    Fingerprints meet if they agree in a block; blocks with many members are dealt out again by further blocks, so that no
-    task gathers more than `run` of one block until 64 bits are nearly used up, where a block can have no more than its
-    few free bits allow. Within a run the Gray-order index finds the classes; links to their roots are returned, not pairs.
+    Fingerprints are dealt to runs (dealing), each a task's to index in Gray order: two that differ in at most `bits` bits
+    agree wholly in a block, and so lie in one range of the order that the block leads. Ranges of more than `run` are dealt
+    out again, so that no task gathers more until 64 bits are nearly used up, where a block can have no more than its few
+    free bits allow. Links to the classes' first members are returned, not pairs.
     """
     spark, found = distinct.sparkSession, None
     rows = distinct.select("fp")
-    levels = block_masks(bits)
+    levels = dealing(rows.count(), run, bits)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
 
     def links(batches):
@@ -207,8 +229,10 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS, run: int = RUN) ->
             choices = F.array(*[F.struct(F.lit(p).alias("parent"), F.lit(k).alias("path"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("block")) for k, (p, m) in enumerate(level)])
             keyed = rows.select("fp", F.explode(F.filter(choices, lambda c: c["parent"] == F.col("path"))).alias("k"))
         keyed = keyed.select("k.path", "k.block", "fp")
-        counts = cut(keyed.groupBy("path", "block").count().where("count > 1"), "blocks")
         deepest = depth == len(levels) - 1
+        if depth == 0 and len(level) == 1:  # one run
+            return keyed.repartition(1).mapInArrow(links, "a long, b long")
+        counts = cut(keyed.groupBy("path", "block").count().where("count > 1"), "blocks")
         ready = keyed.join(counts if deepest else counts.where(F.col("count") <= run), ["path", "block"], "left_semi")
         ready = ready.repartition("path", "block").sortWithinPartitions("path", "block").select("path", "block", "fp")
         made = ready.mapInArrow(links, "a long, b long")
