@@ -15,10 +15,13 @@ LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this machine where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine serves a
+    local master, as in tests; on a cluster it would be the driver's alone, so that is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tidegauge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,6 +38,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table is broadcast up to this many bytes, by its counted rows and the bytes that one takes.
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, of `rows` counted rows, marked for broadcast if it stays within limit; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row. (A projection may be inlined into a lambda and run once per element.)"""
     return F.transform(F.array(value), body)[0]

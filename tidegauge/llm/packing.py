@@ -16,10 +16,8 @@ from tidegauge.llm.common import cut
 LOG = logging.getLogger(__name__)
 #: Tokens of a sequence.
 CAPACITY = 4096
-#: Tokens that one partition packs: about 2,000 sequences.
-PARTITION_TOKENS = 8_000_000
-#: Rounds in which partitions with a gap exchange documents.
-ROUNDS = 4
+#: Tokens that one partition packs, about 2,000 sequences, and the most rows that it holds on the average.
+PARTITION_TOKENS, PARTITION_ROWS = 8_000_000, 1_000_000
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = 1, capacity: int = CAPACITY, run_bytes: int = 1 << 22) -> DataFrame:
@@ -92,7 +90,8 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 
 def _packed(capacity: int, round_: int):
-    """Packs a partition: rows in full bins are kept, others (kept false) can go into the next round."""
+    """Packs a partition best-fit decreasing. full: the row's sequence has no room; certified: the partition has as many
+    sequences as the bound of its lengths, so no packing of it has fewer."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -101,11 +100,13 @@ def _packed(capacity: int, round_: int):
         if not tables:
             return
         rows = pa.Table.from_batches(tables)
-        order = np.lexsort([np.asarray(rows["piece"]), np.asarray(rows["u"]), -np.asarray(rows["length"])])
-        bins, offsets, fill = best_fit(np.asarray(rows["length"])[order], capacity)
-        place = (round_ << 56) | (TaskContext.get().partitionId() << 28)
+        lengths = np.asarray(rows["length"])
+        order = np.lexsort([np.asarray(rows["piece"]), np.asarray(rows["u"]), -lengths])
+        bins, offsets, fill = best_fit(lengths[order], capacity)
+        place = (round_ << 52) | (TaskContext.get().partitionId() << 28)
         out = rows.take(pa.array(order)).select(["_id", "piece", "start", "length", "ids_crc32", "u"])
-        for name, x in (("sequence_id", bins + place), ("offset", offsets), ("kept", (fill == capacity)[bins])):
+        certified = np.full(len(order), len(fill) == lower_bound(lengths, capacity))
+        for name, x in (("sequence_id", bins + place), ("offset", offsets), ("full", (fill == capacity)[bins]), ("certified", certified)):
             out = out.append_column(name, pa.array(x))
         yield from out.to_batches(max_chunksize=50_000)
 
@@ -125,52 +126,68 @@ def gap(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
     return packed.where("offset = 0").count(), bound_of(packed, capacity)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, partition_tokens: int = PARTITION_TOKENS, rounds: int = ROUNDS) -> DataFrame:
-    """items with sequence_id and offset. Lengths are from 1 to capacity.
+def pack(items: DataFrame, capacity: int = CAPACITY, partition_tokens: int = PARTITION_TOKENS, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+    """items with sequence_id and offset, and with total_sequences and sequences_bound, the count reached and the lower bound
+    that certifies it if they are equal. Lengths are from 1 to capacity.
 
     A piece of full length is a sequence of its own. The others are dealt to partitions of about partition_tokens, each packed
-    best-fit decreasing. After each round the sequences of all partitions are held against the dual-feasible bound of all
-    lengths: if they are equal the packing is certified and final. Else full sequences stay, and pieces in sequences with a
-    gap are exchanged: dealt anew, to as few partitions as partition_tokens allows, and packed again, until the bound is met,
-    one partition has them all, or the rounds are over. The round with the fewest sequences is
-    returned; what it has beyond the bound is logged, and gap() tells it of the result.
-
-    A partition is not final by a bound of its own lengths: what it leaves open may be filled by pieces of others.
+    best-fit decreasing and held against the dual-feasible bound of its lengths. Sequences without room are final. A certified
+    partition (as many sequences as its bound) waits; pieces in sequences with room of partitions with a gap are exchanged:
+    dealt anew, to as few partitions as the sizes allow, and packed again, until no partition has a gap or an exchange saves
+    no sequence. Each certified partition may still have up to one sequence by rounding, so then the sequences with room of
+    all partitions are exchanged in the same way, until the bound of all lengths together is met or an exchange saves none.
+    Every exchange but the last saves a sequence; the number of rounds is not limited otherwise. The round with the fewest
+    sequences is returned. No rows give no rows; repeated rows are packed each.
     """
     kind = items.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, u long, sequence_id long, offset long, kept boolean"
+    schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long, u long, sequence_id long, offset long, full boolean, certified boolean"
     columns = ["_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    own = ["_id", "piece", "start", "length", "ids_crc32", "u"]
     numbered = cut(items.withColumn("u", F.monotonically_increasing_id()), "pieces")
-    done = [numbered.where(F.col("length") == capacity).withColumn("sequence_id", F.col("u").bitwiseOR(F.lit(1 << 62))).withColumn("offset", F.lit(0).cast("long")).select(columns)]
-    left = numbered.where(F.col("length") < capacity)
-    bound, closed, best, fewest = bound_of(left, capacity), 0, done, None
-    for k in range(rounds):
-        tokens = left.agg(F.sum("length")).first()[0] or 0
-        if not tokens:
-            break
-        n = max(1, -(-tokens // partition_tokens))
-        dealt = left.repartition(n, F.xxhash64("u", F.lit(k)))
-        packed = cut(dealt.select("_id", "piece", "start", "length", "ids_crc32", "u").mapInArrow(_packed(capacity, k), schema), f"packed{k}")
+    whole = numbered.where(F.col("length") == capacity).withColumn("sequence_id", F.col("u").bitwiseOR(F.lit(1 << 62))).withColumn("offset", F.lit(0).cast("long")).select(columns)
+    pool = numbered.where(F.col("length") < capacity)
+    bound, wholes = bound_of(pool, capacity), whole.count()
+    final, waiting, gaps = [], [], []  # tables of sequences without room, and of others in partitions certified or not
+    n_final, n_waiting, n_gaps, before, together, k = 0, 0, 0, None, False, 0
+    while True:
+        tokens, rows = pool.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+        n = max(1, -(-tokens // partition_tokens), -(-rows // partition_rows))
+        packed = cut(pool.select(own).repartition(n, F.xxhash64("u", F.lit(k))).mapInArrow(_packed(capacity, k), schema), f"packed{k}")
         # each sequence has one piece at offset 0
-        made, full = packed.where("offset = 0").select(F.count("*"), F.count_if("kept")).first()
-        if fewest is None or closed + made < fewest:
-            best, fewest = [*done, packed.select(columns)], closed + made
-        LOG.info("packing round %d: %d sequences beside those of full length, bound %d, gap %d", k, closed + made, bound, closed + made - bound)
-        if fewest == bound or n == 1:
+        made, full, certified = packed.where("offset = 0").select(F.count("*"), F.count_if("full"), F.expr("count_if(certified and not full)")).first()
+        saved = before is None or made < before
+        if saved:
+            if together:
+                waiting, n_waiting = [], 0
+            final, n_final = [*final, packed.where("full")], n_final + full
+            waiting, n_waiting = [*waiting, packed.where("certified and not full")], n_waiting + certified
+            gaps, n_gaps = [packed.where("not certified and not full")], made - full - certified
+        total = n_final + n_waiting + n_gaps
+        LOG.info("packing round %d: %d sequences beside those of full length, bound %d, gap %d", k, total, bound, total - bound)
+        if total == bound or (together and not saved):
             break
-        done, closed, left = [*done, packed.where("kept").select(columns)], closed + full, packed.where("not kept").drop("sequence_id", "offset", "kept")
-    out = best[0]
-    for x in best[1:]:
+        if saved and n_gaps and not together:
+            pool, before = gaps[0], n_gaps
+        else:
+            pool, before, together = _union([x.select(own) for x in [*waiting, *gaps]]), n_waiting + n_gaps, True
+        k += 1
+    out = _union([whole, *(x.select(columns) for x in [*final, *waiting, *gaps])])
+    return out.withColumns({"total_sequences": F.lit(wholes + total).cast("long"), "sequences_bound": F.lit(wholes + bound).cast("long")})
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
         out = out.unionByName(x)
     return out
 
 
-def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = 1, capacity: int = CAPACITY, partition_tokens: int = PARTITION_TOKENS, rounds: int = ROUNDS) -> DataFrame:
-    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = 1, capacity: int = CAPACITY, partition_tokens: int = PARTITION_TOKENS) -> DataFrame:
+    """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset, total_sequences, sequences_bound.
 
     Every row of docs is tokenized and ended by the id `end`; a null or empty text is that id alone. Only rows of more than
     capacity ids are cut. Repeated rows are packed each; a null id stays null; an empty table gives an empty result; other
     columns are ignored.
     """
-    found = pack(pieces(docs, id_col, text_col, vocabulary, end, capacity), capacity, partition_tokens, rounds)
+    found = pack(pieces(docs, id_col, text_col, vocabulary, end, capacity), capacity, partition_tokens)
     return found.withColumnRenamed("_id", id_col)
