@@ -6,6 +6,7 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -275,9 +276,12 @@ def test_decontamination_equals_brute_force(spark, docs, limit):
 
 def test_folding_and_exceptions():
     lex = toxicity.Lexicon()
-    for t in ("you IDIOT", "1d10t!", "іdіоt", "st​upid", "ｍｏｒｏｎ"):
+    for t in ("you IDIOT", "1d10t!", "іdіоt", "st​upid", "ｍｏｒｏｎ", "$hit", "@sshole", "a$$hole", "ídîöt", "𝖎𝖉𝖎𝖔𝖙", "stupid!"):
         assert lex.weight(toxicity.fold(t)) > 0, t
     assert lex.weight(toxicity.fold("a trash can")) == 0 and lex.weight(toxicity.fold("trash can trash")) == toxicity.SEED_WEIGHT
+    assert toxicity.fold("pay $5 @ 10% réeux") == " pay 5 10 réeux " and toxicity.unaccented(" réeux ") == " reeux "
+    began = time.time()  # matches and exceptions in one long text
+    assert lex.weight(toxicity.fold("trash can " * 100_000)) == 0 and time.time() - began < 20
     assert lex.score(None) == lex.score("") < 0.5 < lex.score("what an idiot")
     assert lex.feature("idiot " + "word " * 2000) < lex.feature("idiot")
 
@@ -368,8 +372,7 @@ def test_toxicity_learns_from_texts_that_share_a_word_pair(spark):
     assert any(t.strip().startswith("zorg") for t in lex.terms) and lex.score("you zorgle") > 0.5 > lex.score("a kind note")
 
 
-def test_packing_goes_on_while_there_is_a_gap(spark, monkeypatch):
-    # small partitions fill few sequences a round; stopping at the first round that fills few of them left 749
+def test_packing_goes_on_while_an_exchange_saves_a_sequence(spark, monkeypatch):
     names, cut = [], packing.cut
     monkeypatch.setattr(packing, "cut", lambda df, name: names.append(name) or cut(df, name))
     lengths = np.random.default_rng(3).integers(1, 900, 1500).tolist()
@@ -380,8 +383,14 @@ def test_packing_goes_on_while_there_is_a_gap(spark, monkeypatch):
         assert r.offset == fill[r.sequence_id]
         fill[r.sequence_id] += r.length
     assert sorted(r._id for r in rows) == list(range(1500)) and max(fill.values()) <= 1000
-    assert packing.gap(got, 1000) == (len(fill), packing.lower_bound(np.array(lengths), 1000))
-    assert len(fill) < 749 and names == ["pieces", *(f"packed{k}" for k in range(packing.ROUNDS))]
+    assert packing.gap(got, 1000) == (len(fill), packing.lower_bound(np.array(lengths), 1000)) == (rows[0].total_sequences, rows[0].sequences_bound)
+    assert len(fill) < 749 and len(names) > 4  # one round of the partitions leaves 749
+
+
+def test_packing_keeps_whole_pieces_and_bounds_rows(spark):
+    items = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate([100] * 5 + [1] * 205)], "_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(items, capacity=100, partition_tokens=1_000, partition_rows=150).collect()
+    assert {(r.total_sequences, r.sequences_bound) for r in got} == {(8, 8)} and len(got) == 210
 
 
 def test_packing_stops_at_the_bound(spark, monkeypatch):
@@ -428,15 +437,17 @@ def test_pipeline_equals_a_plain_version(spark):
         def weight(folded):
             places = lambda t: [m.start() for m in re.finditer(f"(?={re.escape(t)})", folded)]
             excused = [(s, s + len(toxicity.fold(p))) for p in lex.exceptions for s in places(toxicity.fold(p))]
-            best = {}
+            bare, best = toxicity.unaccented(folded), {}
             for t, w in lex.terms.items():
-                for s in places(t) if t in folded else ():
-                    best[s] = max(w, best.get(s, 0))
-            return sum(w for s, w in best.items() if not any(a <= s < b for a, b in excused))
+                for s in {*places(t), *([m.start() for m in re.finditer(f"(?={re.escape(t)})", bare)] if t.strip() in toxicity.SEED_TERMS else [])}:
+                    if not any(a <= s < b - 1 for a, b in excused):
+                        word = folded[s + 1 :].split(" ")[0]
+                        best[word] = max(w, best.get(word, 0))
+            return sum(best.values())
 
         def score(text):
             folded = toxicity.fold(text or "")
-            x = lex.intercept + lex.slope * weight(folded) / (1 + math.log1p(folded.count(" ") / 200))
+            x = lex.intercept + lex.slope * weight(folded) / (1 + len(folded.split()) / 1000)
             return 1 / (1 + math.exp(-max(-30, min(30, x))))
 
         return [r for r in rows if score(r.text) < 0.5]

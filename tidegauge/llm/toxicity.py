@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -26,34 +28,47 @@ HOMOGLYPHS = str.maketrans(
     "аᴀααвеёεсԁɡһіїıιјкκӏоοօрρԛѕтτυսνѵѡхχуγｚ",
     "aaaabeeecdghiiiijkklooopp" + "qsttuuvvwxxyyz",
 )
-# Digits and marks that stand for letters inside a word.
+# Digits and marks that stand for letters in a word that has letters; `!` does so between letters only, as it ends sentences.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
 #: Labelled ids up to this many are broadcast; more are shuffled.
 BROADCAST_IDS = 4_000_000
-#: Bounds of the sample that terms are learned from, and of the lexicon.
-MOST_TOXIC, MOST_CLEAN, MOST_TERMS = 4_000, 16_000, 2_000
-#: A term is a word or a beginning of words of at least this many letters; it counts if toxic texts have it this many times as often.
-LEAST_LETTERS, LONGEST_STEM, LEAST_LIFT = 4, 8, 20.0
+#: Bounds of the labelled sample that terms are learned from.
+MOST_TOXIC, MOST_CLEAN = 4_000, 16_000
+#: A term is a word or a beginning of words of at least this many letters; it counts if toxic texts have it this many times as
+#: often, a standard error below the estimate.
+LEAST_LETTERS, LONGEST_STEM, LEAST_LIFT = 4, 8, 6.0
+#: A text's weight is divided by 1 and its words over this many.
+LENGTH = 1_000
 #: How many terms learning looks for in each toxic text.
 DEMAND = 3
 
 _WIDE = dict(zip(range(0xFF01, 0xFF5F), range(0x21, 0x7F), strict=True)) | {0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None, 0xAD: None}
-_WORD = re.compile(r"[^\W_]+(?:[@$!]+[^\W_]+)*")
+_WORD = re.compile(r"[@$]*[^\W_]+(?:[@$!]+[^\W_]+)*[@$]*")
+_LETTER = re.compile(r"[^\W\d_]")
 _SWAP = re.compile(r"[0134578@$!]")
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes as Latin letters, and digits inside words with letters as the letters they stand for; words
-    between single spaces, with a space at both ends."""
-    text = text.translate(_WIDE).lower()
+    """Lower case, look-alikes and styled or accented letters as Latin letters, and digits and marks in words with letters as
+    the letters they stand for, at a word's ends too; words between single spaces, with a space at both ends."""
     if not text.isascii():
-        text = text.translate(HOMOGLYPHS)
-    words = _WORD.findall(text)
-    out = [_SWAP.sub(lambda m: DIGITS[m[0]], w) if _SWAP.search(w) and not w.isdigit() else w for w in words]
+        text = unicodedata.normalize("NFKC", text.translate(_WIDE)).lower().translate(HOMOGLYPHS)
+    out = []
+    for w in _WORD.findall(text.lower()):
+        if _SWAP.search(w):
+            w = _SWAP.sub(lambda m: DIGITS[m[0]], w) if _LETTER.search(w) else w.strip("@$")
+        out.append(w)
     return f" {' '.join(out)} "
 
 
+def unaccented(folded: str) -> str:
+    """folded with the base letter of each accented one: as many characters, at the same places."""
+    if folded.isascii():
+        return folded
+    return folded.translate({ord(c): b for c in set(folded) if not c.isascii() and (b := unicodedata.normalize("NFD", c)[0]) != c})
+
+
 def terms_of(folded: str) -> set[str]:
     """The words of a folded text, ` word `, and their beginnings, ` stem`."""
     out = set()
@@ -74,10 +89,24 @@ class Lexicon:
     slope: float = 3.0
 
     def __post_init__(self):
-        self._machine = None
+        self._machine = self._seeds = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_machine": None}
+        return self.__dict__ | {"_machine": None, "_seeds": None}
+
+    @property
+    def seeds(self):
+        """The built-in terms alone, which are looked for in unaccented text too; learned ones keep the accents they came with."""
+        if self._seeds is None:
+            import ahocorasick
+
+            self._seeds = ahocorasick.Automaton()
+            for t in SEED_TERMS:
+                if f" {t}" in self.terms:
+                    self._seeds.add_word(f" {t}", (len(t) + 1, self.terms[f" {t}"]))
+            if len(self._seeds):
+                self._seeds.make_automaton()
+        return self._seeds
 
     @property
     def machine(self):
@@ -96,24 +125,42 @@ class Lexicon:
         return self._machine
 
     def weight(self, folded: str) -> float:
-        """The weights of matches, one a word at most (the largest), outside exception phrases."""
+        """The weights of different words that terms match outside exception phrases, each by its largest term."""
         if not len(self.machine):
             return 0.0
-        excused: list[tuple[int, int]] = []
+        starts: list[int] = []  # of exception phrases, those that touch made one, and where each ends
+        ends: list[int] = []
         best: dict[int, float] = {}
+        spans = []
         for end, (n, w) in self.machine.iter(folded):
+            start = end - n + 1
             if w is None:
-                excused.append((end - n + 1, end))
+                spans.append((start, end))
             else:
-                start = end - n + 1
                 best[start] = max(best.get(start, 0.0), w)
-        return sum(w for s, w in best.items() if not any(a <= s < b for a, b in excused))
+        plain = unaccented(folded)
+        if plain is not folded and len(self.seeds):
+            for end, (n, w) in self.seeds.iter(plain):
+                best[end - n + 1] = max(best.get(end - n + 1, 0.0), w)
+        for start, end in sorted(spans):
+            if ends and start <= ends[-1]:
+                ends[-1] = max(ends[-1], end)
+            else:
+                starts.append(start)
+                ends.append(end)
+        words: dict[str, float] = {}
+        for start, w in best.items():
+            k = bisect_right(starts, start) - 1
+            if k < 0 or start >= ends[k]:
+                word = folded[start + 1 : folded.index(" ", start + 1)]
+                words[word] = max(words.get(word, 0.0), w)
+        return sum(words.values())
 
     def feature(self, text: str | None) -> float:
-        """Weight over the logarithm of the length: a long text needs more, but not in proportion."""
+        """Weight normalised by length: a long text needs in proportion more words."""
         folded = fold(text or "")
         found = self.weight(folded)
-        return found / (1.0 + math.log1p(folded.count(" ") / 200.0)) if found else 0.0
+        return found / (1.0 + (folded.count(" ") - 1) / LENGTH) if found else 0.0
 
     def score(self, text: str | None) -> float:
         x = self.intercept + self.slope * self.feature(text)
@@ -122,7 +169,7 @@ class Lexicon:
 
 def choose_terms(toxic: list[set[str]], lift: dict[str, float], least: int) -> list[str]:
     """Terms that cover toxic texts, each picked for the most texts that still want one (the longest of equals), until every
-    text has DEMAND terms or no term adds `least` texts."""
+    text has DEMAND terms or no term adds `least` texts. So there are at most DEMAND / least times as many terms as texts."""
     where: dict[str, set[int]] = {}
     for i, terms in enumerate(toxic):
         for t in terms:
@@ -130,7 +177,7 @@ def choose_terms(toxic: list[set[str]], lift: dict[str, float], least: int) -> l
                 where.setdefault(t, set()).add(i)
     want = Counter({i: DEMAND for i in range(len(toxic))})
     chosen: list[str] = []
-    while where and len(chosen) < MOST_TERMS:
+    while where:
         gain = lambda t: (len(where[t]), len(t), t)  # noqa: E731, B023
         best = max(where, key=gain)
         if len(where[best]) < least:
@@ -170,9 +217,11 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Lexicon:
     """A lexicon learned from at most most_toxic and most_clean labelled rows of docs (those of the smallest hashed ids).
 
-    Copies are left out first, by labelled(), so the bounds count texts that differ. Terms' texts are counted in tasks; the terms
-    that at least three toxic texts have, and toxic texts LEAST_LIFT times as often as clean ones, are candidates. Without
-    toxic rows the built-in terms remain. Rows with null ids or labels, or null texts, teach nothing.
+    Copies are left out first, by labelled(), so the bounds count texts that differ. Terms' texts are counted in tasks. A term is
+    a candidate if at least three toxic texts, and a four-hundredth of them, have it, and if toxic texts have it LEAST_LIFT
+    times as often as clean ones by the lower end of the estimate (a standard error of the log below it); that is its weight.
+    What reaches the driver is these candidates and, for each toxic row of the sample, which it has. Without toxic rows the
+    built-in terms remain. Rows with null ids or labels, or null texts, teach nothing; empty texts have no terms.
     """
     known = cut(labelled(docs, labels, id_col, text_col, label_col), "labelled")
     order = F.xxhash64(F.col("_id"), F.lit(7))
@@ -195,11 +244,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["term", "y", "n"])
 
     kind = "term string, y int, n long"
-    toxic = sample.where("_y = 1").mapInArrow(count, kind).groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
-    frequent = cut(toxic.orderBy(F.desc("n"), "term").limit(200_000), "frequent")  # the bound of candidates
-    clean = sample.where("_y = 0").mapInArrow(count, kind).join(F.broadcast(frequent.select("term")), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("c"))
-    lift = ((F.col("n") + 0.5) / (n_toxic + 1)) / ((F.coalesce("c", F.lit(0)) + 0.5) / (n_clean + 1))
-    candidates = {r["term"]: r["lift"] for r in frequent.join(clean, "term", "left").select("term", lift.alias("lift")).where(F.col("lift") >= LEAST_LIFT).collect()}
+    least = max(3, n_toxic // 400)
+    toxic = cut(sample.where("_y = 1").mapInArrow(count, kind).groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("term", "n"), "frequent")
+    clean = sample.where("_y = 0").mapInArrow(count, kind).groupBy("term").agg(F.sum("n").alias("c")).join(toxic.select("term"), "term", "left_semi")
+    n, c = F.col("n") + 0.5, F.coalesce("c", F.lit(0)) + 0.5
+    lift = F.exp(F.log(n / (n_toxic + 1) / (c / (n_clean + 1))) - F.sqrt(1 / n + 1 / c))
+    candidates = {r["term"]: r["lift"] for r in toxic.join(clean, "term", "left").select("term", lift.alias("lift")).where(F.col("lift") >= LEAST_LIFT).collect()}
     names = set(candidates)
 
     def narrow(batches):
@@ -207,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(terms_of(fold(t)) & names) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["terms"])
 
     texts = [set(r["terms"]) for r in sample.where("_y = 1").select("_x").mapInArrow(narrow, "terms array<string>").collect()]  # at most most_toxic rows
-    chosen = choose_terms(texts, candidates, max(3, n_toxic // 400))
+    chosen = choose_terms(texts, candidates, least)
     terms = {f" {t}": SEED_WEIGHT for t in SEED_TERMS} | {t: min(8.0, math.log(candidates[t])) for t in chosen}
     lexicon = Lexicon(terms)
 
@@ -245,8 +295,8 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
     """id, score and predicted (score >= 0.5) of every row, in one pass without a shuffle.
 
     Null and empty texts have no match and so the score of the curve's foot. Repeated rows stay; a null id stays null; an
-    empty table gives an empty result; other columns are ignored. The lexicon, at most MOST_TERMS and the built-in terms,
-    goes to the workers with the function.
+    empty table gives an empty result; other columns are ignored. The lexicon, whose size the bounds of the training sample limit
+    (see choose_terms), goes to the workers with the function.
     """
 
     def run(batches):
@@ -259,7 +309,11 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", most: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, with a score below `most`."""
+    """The rows of docs, all columns as they are, with a score below `most`; a tie goes.
+
+    Null and empty texts stay, unless the curve's foot itself reaches `most`. Ids are not looked at, so null and repeated ones
+    are like others and repeated rows stay repeated; an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
