@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import NON_WORD, cut, free_name, let, lower_ascii, numbers, words_of
+from tidegauge.llm.common import NON_WORD, BROADCAST_BYTES, cut, free_name, let, lower_ascii, numbers, small_side, words_of
 
 #: A word, as it stands in a text whose capitals are not yet lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a window, and of the shingles that a window is found by.
 WINDOW, SHINGLE = 13, 2
-#: Tables of windows or of their shingles up to this many rows are broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that a row takes when broadcast: a key, a text's digest, and a window's prefix with its key.
+KEY_BYTES, DIGEST_BYTES, PREFIX_BYTES = 16, 64, 64
 #: The bitmap that sieves document shingles has at most this many longs.
 MOST_LONGS = 1 << 17
 
@@ -28,17 +28,14 @@ def shingle_keys(words: Column, size: int) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(item, wid, words): every distinct window of each item; an item of fewer words, but not none, is one window."""
+    """(item, wid, words): every distinct window of each item; an item of fewer words, but not none, is one window. wid is a
+    hash of the words."""
     words = items.select(F.col(id_col).alias("item"), normal_words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     slices = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1))), lambda i: F.slice(F.col("w"), i, F.lit(window)))
     distinct = words.select("item", F.explode(slices).alias("words")).distinct()
     return distinct.withColumn("wid", F.xxhash64("words"))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if rows <= limit else df
-
-
 def _sieve(keys: DataFrame, rows: int) -> tuple[list[int], int]:
     """A bitmap of the keys' low bits, about 16 bits a key up to MOST_LONGS, made of one aggregated long for each place."""
     longs = 64
@@ -57,39 +54,36 @@ def _passes(key: Column, bits: Column, longs: int) -> Column:
     return F.get(bits, F.shiftright(key, 6).bitwiseAND(F.lit(longs - 1).cast("long")).cast("int")).bitwiseAND(one) != 0
 
 
-def _matches(docs: DataFrame, windows: DataFrame, size: int, limit: int) -> DataFrame:
-    """(digest, hits) of the texts in docs (digest, _x) that have windows of at least `size` words; hits are structs (start, n, item).
+def _occurrences(docs: DataFrame, windows: DataFrame, size: int, limit: int) -> DataFrame:
+    """(digest, start, n, wid): where the texts in docs (digest, _x) have windows (wid, words) of at least `size` words.
 
     Shingles are ordered by how often documents have them, over all documents; a window that occurs has its rarest shingle
     there too, so that one is its necessary prefix. Places of shingles that any window has are written once, counted,
     and joined with the prefixes; a place and an offset give a window's start, and starts before the text are dropped. Texts
-    with a start left are read again, each once, their lengths bound the starts from above, and the words are compared.
+    with a start left are read again, each once: their lengths bound the starts from above, the words there must hash to the
+    window's number, and what is left is joined with the windows by all their words.
     """
     keyed = cut(windows.withColumn("keys", shingle_keys(F.col("words"), size)), "keyed")
     vocabulary = cut(keyed.select(F.explode("keys").alias("key")).distinct(), "shingles")
     rows = vocabulary.count()
     places = docs.select("digest", F.posexplode(let(normal_words(F.col("_x")), lambda w: shingle_keys(w, size))).alias("at", "key"))
-    if rows > limit:  # what the bitmap lets through is shuffled
+    if rows * KEY_BYTES > limit:  # what the bitmap lets through is shuffled
         bitmap, longs = _sieve(vocabulary, rows)
         places = places.where(_passes(F.col("key"), numbers(bitmap, "bigint"), longs))
-    places = cut(places.join(_maybe_broadcast(vocabulary, rows, limit), "key", "left_semi"), "places")
+    places = cut(places.join(small_side(vocabulary, rows, KEY_BYTES, limit), "key", "left_semi"), "places")
     often = places.groupBy("key").count()
-    offsets = keyed.select("wid", "item", "words", F.posexplode("keys").alias("offset", "key")).join(often, "key")
+    offsets = keyed.select("wid", F.size("words").alias("n"), F.posexplode("keys").alias("offset", "key")).join(often, "key")
     # with a shingle that no document has, a window occurs nowhere
-    rarest = offsets.groupBy("item", "wid", "words").agg(F.min(F.struct("count", "key", "offset")).alias("p"), F.count("*").alias("had"))
-    prefixes = cut(rarest.where(F.col("had") == F.size("words") - (size - 1)).select("item", "words", F.size("words").alias("n"), "p.key", "p.offset"), "prefixes")
-    found = places.join(_maybe_broadcast(prefixes, prefixes.count(), limit), "key").select("digest", (F.col("at") - F.col("offset")).alias("start"), "n", "words", "item").where("start >= 0")
-    starts = cut(found.groupBy("digest").agg(F.collect_set(F.struct("start", "n", "item", "words")).alias("c")), "starts")
-    texts = docs.join(_maybe_broadcast(starts.select("digest"), starts.count(), limit), "digest", "left_semi").dropDuplicates(["digest"])
-    same = lambda w, c: (c["start"] + c["n"] <= F.size(w)) & (F.slice(w, c["start"] + 1, c["n"]) == c["words"])
-    kept = let(normal_words(F.col("_x")), lambda w: F.filter(F.col("c"), lambda c: same(w, c)))
-    hits = texts.join(starts, "digest").select("digest", kept.alias("c")).where(F.size("c") > 0)
-    return hits.select("digest", F.transform("c", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["item"].cast("string").alias("item"))).alias("hits"))
-
-
-def _passes(key: Column, bits: Column, longs: int) -> Column:
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    return F.get(bits, F.shiftright(key, 6).bitwiseAND(F.lit(longs - 1).cast("long")).cast("int")).bitwiseAND(one) != 0
+    rarest = offsets.groupBy("wid", "n").agg(F.min(F.struct("count", "key", "offset")).alias("p"), F.count("*").alias("had"))
+    prefixes = cut(rarest.where(F.col("had") == F.col("n") - (size - 1)).select("wid", "n", "p.key", "p.offset"), "prefixes")
+    found = places.join(small_side(prefixes, prefixes.count(), PREFIX_BYTES, limit), "key").select("digest", (F.col("at") - F.col("offset")).alias("start"), "n", "wid").where("start >= 0")
+    # at most a start for each word of the text and size of window, as numbers
+    starts = cut(found.groupBy("digest").agg(F.collect_set(F.struct("start", "n", "wid")).alias("c")), "starts")
+    texts = docs.join(small_side(starts.select("digest"), starts.count(), DIGEST_BYTES, limit), "digest", "left_semi").dropDuplicates(["digest"])
+    same = lambda w, c: (c["start"] + c["n"] <= F.size(w)) & (F.xxhash64(F.slice(w, c["start"] + 1, c["n"])) == c["wid"])
+    shown = lambda w, c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["wid"].alias("wid"), F.slice(w, c["start"] + 1, c["n"]).alias("words"))
+    alike = texts.join(starts, "digest").select("digest", F.explode(let(normal_words(F.col("_x")), lambda w: F.transform(F.filter(F.col("c"), lambda c: same(w, c)), lambda c: shown(w, c)))).alias("o"))
+    return alike.select("digest", "o.*").join(windows, ["wid", "words"], "left_semi").select("digest", "start", "n", "wid")
 
 
 def contamination(
@@ -101,7 +95,7 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW,
     size: int = SHINGLE,
-    limit: int = BROADCAST_ROWS,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs.
 
@@ -114,28 +108,28 @@ def contamination(
     """
     windows = cut(item_windows(items, item_id_col, item_text_col, window), "windows")
     # what a text has depends on the text alone, so a text's digest stands for it and copies count once
-    rows = docs.select(F.col(id_col).alias("_id"), F.md5(F.col(text_col).cast("binary")).alias("digest"), F.col(text_col).alias("_x"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.sha2(F.col(text_col), 256)).alias("digest"), F.col(text_col).alias("_x"))
     texts, found = rows.select("digest", "_x").where("_x is not null"), []
-    long = windows.where(F.size("words") >= size)
-    if not long.isEmpty():
-        found.append(_matches(texts, long, size, limit))
-    for k in range(1, size):  # items of fewer words than a shingle
-        short = windows.where(F.size("words") == k)
-        if not short.isEmpty():
-            found.append(_matches(texts, short, k, limit))
+    distinct = cut(windows.select("wid", "words").distinct(), "distinct_windows")
+    sizes = [k for k in range(1, size) if not distinct.where(F.size("words") == k).isEmpty()]  # windows of fewer words than a shingle
+    if not distinct.where(F.size("words") >= size).isEmpty():
+        found.append(_occurrences(texts, distinct.where(F.size("words") >= size), size, limit))
+    found += [_occurrences(texts, distinct.where(F.size("words") == k), k, limit) for k in sizes]
     counted = rows.select("_id", "digest", F.regexp_count(F.coalesce("_x", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
     if found:
         hits = found[0]
         for more in found[1:]:
             hits = hits.unionByName(more)
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-        end = lambda s: (s["start"] + s["n"]).cast("long")
-        step = lambda a, s: F.struct((a["n"] + F.greatest(end(s) - F.greatest(a["end"], s["start"].cast("long")), F.lit(0).cast("long"))).alias("n"), F.greatest(a["end"], end(s)).alias("end"))
-        if len(found) > 1:
-            hits = hits.groupBy("digest").agg(F.flatten(F.collect_list("hits")).alias("hits"))
-        per = hits.select("digest", F.aggregate(F.sort_array("hits"), zero, step, lambda a: a["n"]).alias("n_hit"), F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: h["item"]), lambda x: x.isNotNull()))).alias("found"))
-        per = cut(per, "hits")
-        found = counted.join(_maybe_broadcast(per, per.count(), limit), "digest", "left")
+        hits = cut(hits, "occurrences")
+        # words under windows: each adds those beyond the furthest end before it
+        order = Window.partitionBy("digest").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+        reach = F.coalesce(F.max(F.col("start") + F.col("n")).over(order), F.lit(0))
+        covered = hits.select("digest", "start", "n").distinct().withColumn("new", F.greatest(F.col("start") + F.col("n") - F.greatest(reach, F.col("start")), F.lit(0)))
+        n_hit = covered.groupBy("digest").agg(F.sum("new").cast("long").alias("n_hit"))
+        who = hits.select("digest", "wid").distinct().join(windows.select("wid", F.col("item").cast("string").alias("item")).where("item is not null").distinct(), "wid")
+        per = cut(n_hit.join(who.groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("found")), "digest", "left"), "hits")
+        weighs = per.agg(F.sum(F.lit(DIGEST_BYTES) + F.octet_length(F.array_join(F.coalesce("found", F.array().cast("array<string>")), ",")) * 2)).first()[0]
+        found = counted.join(small_side(per, 1, weighs or 0, limit), "digest", "left")
         n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     else:
         found, n_hit = counted.withColumn("found", F.array().cast("array<string>")), F.lit(0).cast("long")
@@ -146,7 +140,8 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns as they are, that are not contaminated. Contamination depends on the text alone, so
-    texts' digests say which rows go; rows without an id are judged like others."""
+    texts' digests say which rows go; rows without an id, and each of several rows of one id, are judged like others. Null
+    texts have no words and stay, repeated rows stay or go together, and empty tables give an empty result, or all of docs."""
     digest = F.sha2(F.col(text_col), 256)
     judged = contamination(docs.select(digest.alias("_digest"), F.col(text_col).alias("_text")), items, "_digest", "_text", **options)
     bad = cut(judged.where("contaminated").select("_digest").distinct(), "contaminated")
