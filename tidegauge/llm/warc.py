@@ -10,13 +10,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import scratch
+from tidegauge.llm.common import cut, scratch, small_side
 
-#: Bytes of a reading task's range.
-RANGE_BYTES = 4 << 20
+#: Bytes of a reading task's range: the most, and the least where there are few archives.
+RANGE_BYTES, LEAST_RANGE = 128 << 20, 4 << 20
+#: Payloads with more copies than this are hot; bytes of a row of first copies when broadcast.
+HOT_COPIES, FIRST_BYTES = 10_000, 128
 #: Bytes read at once while a task scans or decodes.
 BLOCK = 1 << 18
 MAGIC = b"\x1f\x8b\x08"
@@ -38,8 +40,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*digits)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One gzip member: a response with its payload, or a revisit with the payload's HTTP head only."""
+def record(page_id, url: str | None, payload: bytes | None, digest: str, refers_to, size: int | None = None) -> bytes:
+    """One gzip member: a response with its payload, or a revisit with the payload's HTTP head only, which needs its size alone."""
+    size = len(payload) if size is None else size
     line = re.sub(r"[\x00-\x20\x7f]+", " ", url or "").strip()
     head = [
         "WARC/1.1",
@@ -52,24 +55,45 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
         *([] if refers_to is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page-ID: {refers_to}"]),
         "Content-Type: application/http; msgtype=response",
     ]
-    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (payload if refers_to is None else b"")
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload if refers_to is None else b"")
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> list[tuple[str, int]]:
-    """Write a record for every row, and return the archives as (path, bytes): one for each partition that has rows.
+def _marked(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """rows (_id, _url, _payload, _digest, _n) with _refers, the response's id where a row revisits it.
+
+    The first copies of repeated payloads, by digest and size, are broadcast if their bytes allow. Else those of hot payloads
+    are (there are at most rows / HOT_COPIES), which also leaves no payload of a hot revisit to move, and the others, of few
+    copies each, are joined by a shuffle.
+    """
+    lean = rows.where(F.col("_n") >= least_bytes).groupBy("_digest", "_n").agg(F.max("_id").alias("_first"), F.count("*").alias("_copies"))
+    first = cut(lean.where("_copies > 1"), "first_copies")
+    key = ["_digest", "_n"]
+    refers = F.when(F.col("_id").isNull() | (F.col("_id") != F.col("_first")), F.col("_first")).alias("_refers")
+    out = ["_id", "_url", "_payload", "_digest", "_n"]
+    once = small_side(first, first.count(), FIRST_BYTES)
+    if once is not first:
+        return rows.join(once, key, "left").select(*out, refers)
+    hot = F.broadcast(first.where(F.col("_copies") > HOT_COPIES).withColumn("_hot", F.lit(True)))
+    split = rows.join(hot, key, "left").select(*out, refers, "_hot")
+    rest = split.where("_hot is null").drop("_refers", "_hot").join(first.where(F.col("_copies") <= HOT_COPIES), key, "left").select(*out, refers)
+    return split.where("_hot").select(*out, "_refers").unionByName(rest)
+
+
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
+    """Write a record for every row, and return the archives as a written table (path, bytes): one for each partition with rows.
 
     Of rows with equal payloads of at least least_bytes bytes, that with the largest id is a response and others revisit it;
-    rows that share that id are all responses, and so are rows whose group has no id. A null payload is empty. Only ids and
-    digests are aggregated and joined with the payloads. An archive is written under a name of its attempt's own and counts
-    only if its task's result names it, so attempts that are lost or repeated leave no record twice.
+    rows that share that id are all responses, and so are rows whose group has no id. A null payload is empty. Rows repeat as
+    they come in, other columns are ignored, and an empty table gives no archives. Only ids and digests are aggregated. An
+    archive is written under a name of its attempt's own and counts only if its task's result names it, so attempts that are
+    lost or repeated leave no record twice.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url") if url_col in pages.columns else F.lit(None).cast("string").alias("_url"), payload.alias("_payload"))
     rows = rows.withColumns({"_digest": base32_sha1(F.col("_payload")), "_n": F.octet_length("_payload")})
-    first = rows.where(F.col("_n") >= least_bytes).groupBy("_digest", "_n").agg(F.max("_id").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
-    marked = rows.join(first, ["_digest", "_n"], "left").select("_id", "_url", "_payload", "_digest", F.when(F.col("_id").isNull() | (F.col("_id") != F.col("_first")), F.col("_first")).alias("_refers"))
+    marked = _marked(rows, least_bytes).select("_id", "_url", F.when(F.col("_refers").isNull(), F.col("_payload")).alias("_payload"), "_digest", "_n", "_refers")
 
     def write(batches):
         from pyspark import TaskContext
@@ -77,19 +101,19 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         task, out, total = TaskContext.get(), None, 0
         name = f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
         for batch in batches:
-            for i, url, body, digest, refers in zip(*(batch.column(k) for k in range(5)), strict=True):
+            for i, url, body, digest, n, refers in zip(*(batch.column(k) for k in range(6)), strict=True):
                 if out is None:
                     files, path = _fs(name)
                     files.create_dir(path.rpartition("/")[0], recursive=True)
                     out = files.open_output_stream(path, compression=None)
-                made = record(i.as_py(), url.as_py(), body.as_py(), digest.as_py(), refers.as_py())
+                made = record(i.as_py(), url.as_py(), body.as_py(), digest.as_py(), refers.as_py(), n.as_py())
                 out.write(made)
                 total += len(made)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([total], pa.int64())], ["path", "bytes"])
 
-    return [tuple(r) for r in marked.mapInArrow(write, "path string, bytes long").collect()]  # a row for each archive
+    return cut(marked.mapInArrow(write, "path string, bytes long"), "archives")
 
 
 class Reader:
@@ -165,16 +189,19 @@ def parse(member: bytes) -> dict:
     return fields | {"": rest[:n]}
 
 
-def read_warc(spark: SparkSession, archives: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_warc(archives: DataFrame, range_bytes: int | None = None) -> DataFrame:
     """A row for each response and revisit record: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
-    archives are (path, bytes). Files are split by range_bytes; a task owns the records that begin in its range, wherever
-    they end. A response's size and digest are those of the payload read, which must be those that its head names; a
+    archives are (path, bytes). Files are split into byte ranges by the executors, a task a range; a task owns the records
+    that begin in its range, wherever they end. Ranges have range_bytes, by default a share of all bytes between LEAST_RANGE
+    and RANGE_BYTES. A response's size and digest are those of the payload read, which must be those that its head names; a
     revisit's are those its head names. A record without WARC-Page-ID has a null page_id; no archives give no rows.
     """
-    ranges = [(p, a, min(a + range_bytes, n)) for p, n in archives for a in range(0, n, range_bytes)]
-    if not ranges:
-        return spark.createDataFrame([], RECORD)
+    spark = archives.sparkSession
+    total = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    step = range_bytes or max(LEAST_RANGE, min(RANGE_BYTES, total // (4 * spark.sparkContext.defaultParallelism)))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(step).cast("long"))
+    ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(starts).alias("start")).select("path", "start", F.least(F.col("start") + step, F.col("bytes")).alias("stop"))
 
     def read(batches):
         for batch in batches:
@@ -193,15 +220,14 @@ def read_warc(spark: SparkSession, archives: list[tuple[str, int]], range_bytes:
                     out.append((number("warc-page-id"), n, digest, r["warc-type"], number("warc-refers-to-page-id"), r.get("warc-target-uri")))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
-    tasks = spark.createDataFrame(ranges, "path string, start long, stop long").repartition(len(ranges))
-    return tasks.mapInArrow(read, RECORD)
+    return ranges.repartition(max(1, -(-total // step))).mapInArrow(read, RECORD)
 
 
-def warc_round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Write pages as archives in a shared folder and read them back by byte ranges."""
-    spark = pages.sparkSession
-    archives = write_warc(pages, folder or scratch(spark, "warc"), id_col, url_col, payload_col, least_bytes)
-    return read_warc(spark, archives, range_bytes)
+def warc_round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, range_bytes: int | None = None) -> DataFrame:
+    """Write pages as archives in a shared folder and read them back by byte ranges: a row for each row of pages, as
+    write_warc and read_warc say; null, empty and repeated payloads, null and repeated ids and empty tables included."""
+    archives = write_warc(pages, folder or scratch(pages.sparkSession, "warc"), id_col, url_col, payload_col, least_bytes)
+    return read_warc(archives, range_bytes)
 
 
 #: The same from the table, in DuckDB SQL: base32 by five bits at a time.
