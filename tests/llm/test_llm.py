@@ -172,6 +172,14 @@ def test_warc_round_trip(spark, tmp_path, range_bytes, least):
     assert sorted(map(str, [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got])) == sorted(map(str, want))
 
 
+def test_warc_marks_hot_payloads_without_a_broadcast_of_all(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "u", "hot" if i % 3 else f"p{i % 4}") for i in range(60)], "page_id long, url string, html string")
+    want = sorted(map(str, warc.warc_round_trip(df, str(tmp_path / "a")).collect()))
+    monkeypatch.setattr(warc, "small_side", lambda d, rows, width: d)
+    monkeypatch.setattr(warc, "HOT_COPIES", 10)
+    assert sorted(map(str, warc.warc_round_trip(df, str(tmp_path / "b")).collect())) == want
+
+
 def test_warc_members_are_owned_once_and_hold_no_decoys(tmp_path):
     inner = warc.record(9, "u", b"inner", "D", None)
     made = [warc.record(i, "u", inner * 3 + warc.MAGIC * 50, "D", None) for i in range(20)]
@@ -230,6 +238,26 @@ def test_shards(spark, tmp_path):
         store.append(df.drop("bytes"))
 
 
+def test_two_writers_of_shards_lose_no_row(spark, tmp_path):
+    store = shards.ShardStore(spark, str(tmp_path))
+    rows = lambda a, b: spark.range(a, b).coalesce(1)
+    store.append(rows(0, 10))
+    before = store.manifest()
+    store._write(rows(10, 20), "shards/slow")  # a writer that has not committed yet
+    store.vacuum()
+    assert store.commit(before, before["shards"] + store._written("shards/slow", 0), before["schema"]) == 2
+    assert store.read().count() == 20
+    late = store.manifest()
+    for k in (2, 3):
+        store.append(rows(10 * k, 10 * k + 10))
+    store.vacuum()  # removes the manifest of the version that the late writer wants
+    with pytest.raises(shards.Conflict):
+        store.commit(late, [], late["schema"])
+    assert store.read().count() == 40 and store.version() == 4
+    store._write(rows(0, 5), "shards/orphan")
+    assert store.vacuum() == 0 and shards.ShardStore(spark, str(tmp_path), grace=-60).vacuum() == 1 and store.read().count() == 40
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.where(~langid.held_out()))

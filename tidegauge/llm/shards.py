@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -15,6 +16,8 @@ TARGET_BYTES = 128 << 20
 FAN_IN = 4
 #: Merges in one Spark job, and jobs at once.
 MERGES_IN_A_JOB, JOBS = 64, 4
+#: Seconds for which files that no manifest has named yet may belong to a writer that has not committed.
+GRACE = 24 * 3600
 
 
 class Conflict(RuntimeError):
@@ -26,11 +29,12 @@ class ShardStore:
 
     Version n is the file manifests/n.json, which names its shards; the highest is current. It is written aside and renamed,
     and a rename onto an existing version fails, so readers see whole versions and of two writers one commits. Shards
-    are never changed: a merge writes new ones and a new manifest, and files that no kept manifest names are removed later.
+    are never changed: a merge writes new ones and a new manifest. vacuum removes what superseded versions named and no kept
+    one does; files that no manifest has named may be a writer's that is about to commit, and go only after `grace` seconds.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
-        self.spark, self.folder, self.target_bytes, self.fan_in = spark, folder.rstrip("/"), target_bytes, fan_in
+    def __init__(self, spark: SparkSession, folder: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, grace: float = GRACE):
+        self.spark, self.folder, self.target_bytes, self.fan_in, self.grace = spark, folder.rstrip("/"), target_bytes, fan_in, grace
         self._jvm = spark._jvm
 
     def _path(self, name: str):
@@ -72,6 +76,9 @@ class ShardStore:
         except Exception as e:
             fs.delete(aside, False)
             raise Conflict(f"version {version} is taken") from e
+        if self.version() > version:  # the version was taken, and vacuum has removed its manifest
+            fs.delete(final, False)
+            raise Conflict(f"version {version} is past")
         return version
 
     def _written(self, folder: str, level: int) -> list[dict]:
@@ -133,16 +140,22 @@ class ShardStore:
         return self.version()
 
     def vacuum(self, keep: int = 1) -> int:
-        """Remove the shards that none of the last `keep` versions names, and the manifests before them."""
+        """Remove the shards that only versions before the last `keep` named, and those that no version names and that are
+        older than the grace; then the old manifests. The number of files removed."""
         now, fs = self.version(), self._fs()
-        kept = [self.manifest(v) for v in range(max(1, now - keep + 1), now + 1)]
-        named = {s["file"] for m in kept for s in m["shards"]}
-        removed = 0
+        there = sorted(int(n[:-5]) for n, _ in self._names("manifests") if n.endswith(".json") and n[:-5].isdigit())
+        of = lambda versions: {s["file"] for v in versions for s in self.manifest(v)["shards"]}
+        old = [v for v in there if v <= now - keep]
+        kept = of(v for v in there if v > now - keep)
+        gone = of(old) - kept
+        removed = sum(bool(fs.delete(self._path(f), False)) for f in gone)
+        before = (time.time() - self.grace) * 1000
         for folder, _ in self._names("shards"):
-            for name, _ in self._names(f"shards/{folder}"):
-                if name.endswith(".parquet") and f"shards/{folder}/{name}" not in named:
-                    removed += bool(fs.delete(self._path(f"shards/{folder}/{name}"), False))
-        for v in range(1, now - keep + 1):
+            for found in fs.listStatus(self._path(f"shards/{folder}")):
+                name = f"shards/{folder}/{found.getPath().getName()}"
+                if name.endswith(".parquet") and name not in kept and name not in gone and found.getModificationTime() < before:
+                    removed += bool(fs.delete(found.getPath(), False))
+        for v in old:
             fs.delete(self._path(f"manifests/{v}.json"), False)
         return removed
 
