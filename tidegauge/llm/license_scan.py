@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import lower_ascii
+from tidegauge.llm.common import cut, free_name, lower_ascii, small_side
 
 # Fixed values: (identifier, text) of known licences and of the one-line notices that stand for them.
 LICENSES = [
@@ -107,25 +107,41 @@ def license_scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", t
     the sorted identifiers of known one-line notices that are entire lines of the text (comma-joined, empty if none).
 
     A null or empty text, and a text of copyright lines only, has the digest of the empty string and no licence. Rows
-    repeat as they come in; an empty table gives an empty result; other columns are ignored. One pass over the texts:
-    digests of entire texts are joined to the licence table (broadcast by Spark if it is small), and lines are compared
-    with at most most_notices notice digests; a larger set is refused rather than cut.
+    repeat as they come in; an empty table gives an empty result; other columns are ignored. One pass over the texts: digests
+    of entire texts are joined to the licence table, which is broadcast if its counted rows are small, and lines are compared
+    with the notices' digests; of more than most_notices these are joined too, by the distinct digests of each text's lines.
     """
     known = licenses.where("notice").select("license_digest", "license_id").limit(most_notices + 1).collect()
-    if len(known) > most_notices:
-        raise ValueError(f"more than {most_notices} one-line notices")
-    digests = F.array(*[F.lit(r["license_digest"]) for r in known]) if known else F.array().cast("array<string>")
-    names = F.create_map(*[x for r in known for x in (F.lit(r["license_digest"]), F.lit(r["license_id"]))]) if known else F.expr("cast(map() as map<string,string>)")
+    few = len(known) <= most_notices
     # only short lines that name such a word after folding can be notices with one; any other notice set is compared with all lines
-    hint = NOTICE_HINT if _hinted({r["license_digest"] for r in known}) else "^"
+    hint = NOTICE_HINT if few and _hinted({r["license_digest"] for r in known}) else "^"
     lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(hint))
-    found = F.array_intersect(digests, F.transform(lines, lambda x: F.sha2(canonical(x), 256)))
-    notice_ids = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: F.element_at(names, d)))), ",") if known else F.lit("")
+    digests = F.transform(lines, lambda x: F.sha2(canonical(x), 256))
+    if not known:
+        notice_ids = F.lit("")
+    elif few:
+        names = F.create_map(*[x for r in known for x in (F.lit(r["license_digest"]), F.lit(r["license_id"]))])
+        found = F.array_intersect(F.array(*[F.lit(r["license_digest"]) for r in known]), digests)
+        notice_ids = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: F.element_at(names, d)))), ",")
+    else:
+        docs, notice_ids = _with_notices(docs, licenses, digests)
     rows = docs.select(F.col(id_col), F.sha2(canonical(F.col(text_col)), 256).alias("canonical_digest"), notice_ids.alias("notice_ids"))
     ids = licenses.where(F.col("license_digest") != F.sha2(F.lit(""), 256)).select("license_digest", "license_id")
-    return rows.join(ids, F.col("canonical_digest") == F.col("license_digest"), "left").select(id_col, "canonical_digest", "license_id", "notice_ids")
+    return rows.join(small_side(ids, ids.count(), LICENSE_BYTES), F.col("canonical_digest") == F.col("license_digest"), "left").select(id_col, "canonical_digest", "license_id", "notice_ids")
 
 
+def _with_notices(docs: DataFrame, licenses: DataFrame, digests: Column) -> tuple[DataFrame, Column]:
+    """docs, written with a number for each row, and the column of its notices: lines are joined with the notices."""
+    at, names = free_name("_at", docs.columns), free_name("_notices", docs.columns)
+    rows = cut(docs.withColumn(at, F.monotonically_increasing_id()), "numbered")
+    notices = licenses.where("notice").select(F.col("license_digest").alias("_d"), "license_id")
+    lines = rows.select(at, F.explode(F.array_distinct(digests)).alias("_d"))
+    per = lines.join(small_side(notices, notices.count(), LICENSE_BYTES), "_d").groupBy(at).agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias(names))
+    return rows.join(per, at, "left"), F.coalesce(F.col(names), F.lit(""))
+
+
+#: Bytes of a row of the licence table when broadcast.
+LICENSE_BYTES = 256
 NOTICE_HINT = "(?i)licen[sc]"
 
 
