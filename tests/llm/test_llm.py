@@ -333,6 +333,11 @@ def test_licenses(spark, docs):
     assert [got[k].license_id for k in range(1, 6)] == ["MIT", None, None, None, "MIT"]
     assert got[4].notice_ids == "CC-BY-NC-4.0" and got[3].canonical_digest == hashlib.sha256(b"").hexdigest()
     assert license_scan.license_scan(docs, table).count() == len(TEXTS)
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    few, many = (sorted(map(str, license_scan.license_scan(both, table, most_notices=n).collect())) for n in (10_000, 0))
+    assert few == many
+    assert license_scan.license_scan(both, table.limit(0)).where("license_id is not null or notice_ids <> ''").isEmpty()
+    assert license_scan.license_scan(both.limit(0), table).isEmpty()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

@@ -194,7 +194,11 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep_languages(docs: DataFrame, model: Model, languages: list[str] | None = None, least_score: float = 0.25, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is known, wanted (any by default) and scored least_score or more."""
+    """The rows of docs, all columns as they are, whose language is known, wanted (any by default) and scored least_score or more.
+
+    Null and empty texts, and texts without a letter, have no language and go; a tie with least_score stays. Ids are not looked
+    at, repeated rows stay or go together, and an empty table gives an empty result; a model without languages keeps no row.
+    """
     wanted, at = set(languages if languages is not None else model.languages), docs.columns.index(text_col)
 
     def run(batches):

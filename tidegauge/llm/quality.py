@@ -94,7 +94,7 @@ def buckets(text, n: int = BUCKETS):
     )
 
 
-def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = BUCKETS, broadcast_ids: int = 4_000_000) -> DataFrame:
+def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = BUCKETS, broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row for each bucket: the log of its smoothed share in trusted documents over its share in all documents.
 
     trusted has the ids of the trusted target. Both multinomials count every n-gram of every document of their side; with
@@ -132,8 +132,8 @@ def quality_rules(
     text; a null id is never trusted. A tie with the threshold is kept. An empty table gives an empty result. Columns other
     than the two named are ignored.
 
-    The weights are one array of n doubles, the scalar result of a subquery, so its size is bounded by n whatever the
-    corpus has; scoring reads each text once, without a shuffle.
+    The weights are one array of n doubles, which the driver reads and puts into the plan, so their size is bounded by n
+    whatever the corpus has; scoring reads each text once, without a shuffle.
     """
     spark = docs.sparkSession
     weights = ratio_weights(docs, trusted, id_col, text_col, n)

@@ -32,7 +32,7 @@ HOMOGLYPHS = str.maketrans(
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
 #: Labelled ids up to this many are broadcast; more are shuffled.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 1_000_000
 #: Bounds of the labelled sample that terms are learned from.
 MOST_TOXIC, MOST_CLEAN = 4_000, 16_000
 #: A term is a word or a beginning of words of at least this many letters; it counts if toxic texts have it this many times as
