@@ -8,8 +8,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.errors import DataError, RequestError, ResultTooLargeError
-from tidegauge.functions import calendar, values
+from tidegauge.errors import DataError, RequestError, ResultTooLargeError, UnavailableError
+from tidegauge.functions import calendar as cal
+from tidegauge.functions import values
 from tidegauge.operators import bars, checks, tables, trading, versions
 from tidegauge.plans import views  # noqa: F401  (registers its queries)
 from tidegauge.plans.market import ORACLE_SQL, QUERIES
@@ -85,12 +86,12 @@ def test_momentum_needs_every_day(spark):
 
 
 def test_next_session_must_be_covered(spark):
-    cal = spark.sql("select * from values (date'2024-01-05', true), (date'2024-01-06', false), (date'2024-01-08', true) t(cal_date, is_open)")
-    df = calendar.join_next_session(spark.sql("select date'2024-01-06' as day"), cal, "day")
+    known = spark.sql("select * from values (date'2024-01-05', true), (date'2024-01-06', false), (date'2024-01-08', true) t(cal_date, is_open)")
+    df = cal.join_next_session(spark.sql("select date'2024-01-06' as day"), known, "day")
     assert str(df.first().next_session) == "2024-01-08"
-    calendar.require_covered(df)
+    cal.require_covered(df)
     with pytest.raises(DataError):
-        calendar.require_covered(calendar.join_next_session(spark.sql("select date'2024-01-08' as day"), cal, "day"))
+        cal.require_covered(cal.join_next_session(spark.sql("select date'2024-01-08' as day"), known, "day"))
 
 
 def test_last_wins_with_null_keys_and_preference(spark):
@@ -108,18 +109,42 @@ def test_filters(spark):
         tables.predicate([("id", "~", 1)])
 
 
-def test_code_history(spark):
-    good = spark.sql("select * from values (1L, 'a', date'2020-01-01', date'2021-01-01'), (1L, 'b', date'2021-01-01', cast(null as date)) t(sid, code, valid_from, valid_to)")
-    versions.check_history(good)
-    with pytest.raises(DataError):
-        versions.check_history(good.union(spark.sql("select 1L, 'c', date'2022-01-01', cast(null as date)")))
+@pytest.mark.parametrize("timing,states", [
+    ("09:30-09:40,09:40-09:50", {"09:29": None, "09:30": True, "09:40": True, "09:45": True, "09:50": False}),
+    ("9:30-9:40", {"09:35": True, "09:40": False}),
+    ("09:30-09:40,10:00-10:10", {"09:45": False, "10:00": True, "10:10": False}),
+    ("09:40-09:45,09:30-11:00", {"09:50": True}),
+    (" 9:30 - 9:40 , 09:40-09:50 ", {"09:45": True}),
+    ("09:34:21-09:44:21,09:46:15-09:56:15", {"09:34:20": None, "09:34:21": True, "09:44:20": True, "09:44:21": False, "09:46:15": True, "09:56:15": False}),
+])
+def test_stretches_of_a_suspension(spark, timing, states):
+    events = spark.createDataFrame([("a", "S", timing)], "s string, kind string, timing string")
+    for clock, want in states.items():
+        assert versions.suspended(events, events.select("s"), "s", clock, covered=False).first().suspended is want, clock
 
 
 def test_suspension_states(spark):
-    events = spark.sql("select * from values ('a','S',null), ('b','S','9:30-10:00'), ('c','S','9:30-12:00'), ('d','S','9:30-9:40'), ('d','R','9:30-9:50'), ('e','R',null) t(s, kind, timing)")
-    found = {r.s: r.suspended for r in versions.suspended(events, spark.sql("select explode(array('a','b','c','d','e','f')) s"), "s", "11:00").collect()}
-    assert found == {"a": True, "b": True, "c": True, "d": None, "e": False, "f": False}
+    rows = [("a", "S", None), ("b", "S", "9:30-10:00"), ("c", "S", "9:30-12:00"), ("d", "S", "9:30-9:40"), ("d", "R", "9:30-9:50"), ("e", "R", None), ("g", "S", None), ("g", "R", "10:00-15:00"), ("h", "X", None),
+            ("i", "S", "9:30-12:00"), ("i", "R", None), ("j", "S", None), ("j", "R", None), ("k", "X", "10:00-10:01"), ("l", "S", "11:00:01-12:00"), ("m", "S", "10:00-12:00"), ("m", "R", "10:30-12:00")]
+    events = spark.createDataFrame(rows, "s string, kind string, timing string")
+    everyone = spark.sql("select explode(split('a,b,c,d,e,f,g,h,i,j,k,l,m', ',')) s")
+    found = {r.s: r.suspended for r in versions.suspended(events, everyone, "s", "11:00").collect()}
+    assert found == {"a": True, "b": False, "c": True, "d": False, "e": False, "f": False, "g": False, "h": None, "i": True, "j": None, "k": None, "l": False, "m": True}
     assert versions.suspended(events, spark.sql("select 'f' s"), "s", "11:00", covered=False).first().suspended is None
+    assert versions.suspended(events, spark.sql("select 'a' s"), "s", "09:24:59").first().suspended is False
+    for bad in ("9:30-9:40,bad", "9:30-9:40,", "9:30-9:40extra", "", "24:00-24:01", "9:40-9:40", "9:60-10:00"):
+        with pytest.raises(UnavailableError):
+            versions.suspended(spark.createDataFrame([("a", "S", bad)], events.schema), everyone, "s", "9:00")
+
+
+def test_sessions_after_days_that_a_calendar_lacks(spark):
+    sparse = spark.sql("select date(c) cal_date, o is_open from values ('2024-01-02', true), ('2024-01-03', false), ('2024-01-08', true), ('2024-01-08', false), ('2024-01-20', true) t(c, o)")
+    days = spark.sql("select date(d) d from values ('2023-12-25'), ('2024-01-01'), ('2024-01-02'), ('2024-01-05'), ('2024-01-08'), ('2024-01-19'), ('2024-01-20'), ('2024-02-01'), (null) t(d)")
+    found = {str(r.d): str(r.n) for r in cal.join_next_session(days, sparse, "d", "n").collect()}
+    assert found == {"2023-12-25": "2024-01-02", "2024-01-01": "2024-01-02", "2024-01-02": "2024-01-08", "2024-01-05": "2024-01-08", "2024-01-08": "2024-01-20", "2024-01-19": "2024-01-20", "2024-01-20": "None", "2024-02-01": "None", "None": "None"}
+    cal.require_reached(days.where("d < '2024-01-20'"), "d", cal.open_bounds(sparse)[1])
+    with pytest.raises(DataError):
+        cal.require_reached(days, "d", cal.open_bounds(sparse)[1])
 
 
 def test_reconcile_and_outcome(spark):

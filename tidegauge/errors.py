@@ -13,5 +13,9 @@ class DataError(RuntimeError):
     """Rows break a rule that a result depends on."""
 
 
+class MappingError(DataError):
+    """A code has no security, a security no code on a day, or two codes of one security collide."""
+
+
 class ResultTooLargeError(RuntimeError):
     """A result has more rows than its cap; it is refused, not cut."""

@@ -51,10 +51,10 @@ def adjust_by_events(bars: DataFrame, events: DataFrame, symbol: str, day: str,
     """Prices over the product of the ratios of later events up to the anchor date. events: symbol, ex_date, dr. A symbol's
     events are few, so the join is by symbol and the range is a condition on it."""
     right = events.where(F.col("ex_date") <= F.lit(anchor).cast("date")).select(F.col(symbol).alias("_s"), "ex_date", "dr")
-    later = bars.select(symbol, day).join(right, (F.col(symbol) == F.col("_s")) & (F.col("ex_date") > F.col(day)))
+    later = bars.select(symbol, day).distinct().join(right, (F.col(symbol) == F.col("_s")) & (F.col("ex_date") > F.col(day)))
     ratio = later.groupBy(symbol, day).agg(F.product("dr").alias("_ratio"))
-    out = bars.join(ratio, [symbol, day], "left").withColumn("_ratio", F.coalesce("_ratio", F.lit(1.0)))
-    return out.withColumns({p: F.try_divide(F.col(p), F.col("_ratio")) for p in prices}).drop("_ratio")
+    out = bars.join(ratio, [symbol, day], "left").withColumn("_ratio", F.coalesce(F.nullif("_ratio", F.lit(0.0)), F.lit(1.0)))
+    return out.withColumns({p: F.col(p) / F.col("_ratio") for p in prices}).drop("_ratio")
 
 
 def momentum(bars: DataFrame, symbol: str, day: str, close: str, days: int, top: int) -> DataFrame:

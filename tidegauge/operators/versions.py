@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.errors import DataError
+from tidegauge.errors import DataError, UnavailableError
 from tidegauge.operators.bars import latest
 
 
@@ -38,28 +38,52 @@ def canonicalise(df: DataFrame, aliases: DataFrame, code: str, keys: list[str])
     return out
 
 
-def check_history(history: DataFrame) -> None:
-    """DataError unless each sid's (code, valid_from, valid_to) rows follow each other without gap or overlap, and no code has two sids."""
-    order = Window.partitionBy("sid").orderBy("valid_from")
-    broken = history.withColumn("before", F.lag("valid_to").over(order)).withColumn("n", F.row_number().over(order))
-    bad = broken.where((F.col("sid") <= 0) | ((F.col("n") > 1) & ~F.col("before").eqNullSafe(F.col("valid_from"))) | (F.col("valid_to") <= F.col("valid_from")))
-    shared = history.groupBy("code").agg(F.count_distinct("sid").alias("n")).where("n > 1")
-    if not bad.isEmpty() or not shared.isEmpty():
-        raise DataError("the code history is inconsistent")
+#: A stretch of a day: `H:MM[:SS]-H:MM[:SS]`, with white space around its clocks.
+STRETCH = r"^\s*([01]?[0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9]))?\s*-\s*([01]?[0-9]|2[0-3]):([0-5][0-9])(?::([0-5][0-9]))?\s*$"
+# Fixed value: the second of the day at which events without a stretch begin.
+WHOLE_DAY_AT = 9 * 3600 + 25 * 60
+
+
+def stretches(timing: Column) -> Column:
+    """The stretches of a timing as structs of seconds (start, stop); null timings have none, and a null struct stands for a
+    part that is malformed or does not end after it starts."""
+    part = lambda x, k: F.coalesce(F.regexp_extract(x, STRETCH, k).try_cast("int"), F.lit(0))
+    seconds = lambda x, k: part(x, k) * 3600 + part(x, k + 1) * 60 + part(x, k + 2)
+    one = lambda x: F.when(x.rlike(STRETCH) & (seconds(x, 1) < seconds(x, 4)), F.struct(seconds(x, 1).alias("start"), seconds(x, 4).alias("stop")))
+    return F.when(timing.isNull(), F.array().cast("array<struct<start:int,stop:int>>")).otherwise(F.transform(F.split(timing, ","), one))
+
+
+def valid_timing(timing: Column) -> Column:
+    return ~F.exists(stretches(timing), lambda x: x.isNull())
+
+
+def seconds_of(clock: str) -> float:
+    """The seconds since midnight of `HH:MM[:SS[.f]]`."""
+    hour, minute, *second = clock.split(":")
+    return int(hour) * 3600 + int(minute) * 60 + float(second[0] if second else 0)
 
 
 def suspended(events: DataFrame, symbols: DataFrame, symbol: str, clock: str, covered: bool = True) -> DataFrame:
-    """(symbol, suspended) at a clock time. events: symbol, kind (S or R), timing: null for the whole day, else
-    `H:MM-H:MM,...`. A stretch of S that holds the clock wins; otherwise the last start decides, null if S and R share it;
-    without any event it is false, or unknown (null) where the day is not covered."""
-    minutes = lambda x: F.split_part(x, F.lit(":"), F.lit(1)).cast("int") * 60 + F.split_part(x, F.lit(":"), F.lit(2)).cast("int")
-    hour, minute = clock.split(":")
-    now = F.lit(int(hour) * 60 + int(minute))
-    parts = F.explode(F.split(F.coalesce("timing", F.lit("9:25-24:00")), ",")).alias("part")
-    rows = events.select(symbol, "kind", parts).select(symbol, "kind", minutes(F.split_part("part", F.lit("-"), F.lit(1))).alias("start"), minutes(F.split_part("part", F.lit("-"), F.lit(2))).alias("stop"))
-    begun = rows.where(F.col("start") <= now).withColumn("active", (F.col("kind") == "S") & (now < F.col("stop")))
-    top = begun.withColumn("last", F.max("start").over(Window.partitionBy(symbol)))
-    state = top.groupBy(symbol).agg(F.bool_or("active").alias("active"), F.count_distinct(F.when(F.col("start") == F.col("last"), F.col("kind"))).alias("kinds"), F.max(F.when(F.col("start") == F.col("last"), F.col("kind"))).alias("kind"))
-    decided = F.when(F.col("active"), True).when(F.col("kinds") > 1, F.lit(None)).when(F.col("kind").isNotNull(), F.col("kind") == "S")
-    out = symbols.join(state.withColumn("known", F.lit(True)), symbol, "left")
-    return out.select(symbol, F.when(F.col("known"), decided).otherwise(F.lit(False) if covered else F.lit(None).cast("boolean")).alias("suspended"))
+    """(symbol, suspended) at a clock time. events: symbol, kind, timing: null for the whole day, else stretches, comma-joined.
+
+    Events that have begun count. Without a stretch an event begins at 9:25 and means suspended (S), not (R) or unknown (any
+    other kind). A stretch begins at its start; one of S means suspended until its end and not after it, one of R not, any
+    other unknown. While a stretch of S lasts, the symbol is suspended whatever else there is; else the last start decides,
+    and the state is unknown (null) if that start's events differ. Without an event it is false, or null where the day is not
+    covered. A malformed timing is an UnavailableError, whether its event has begun or not.
+    """
+    if not events.where(~valid_timing(F.col("timing"))).isEmpty():
+        raise UnavailableError("a suspension has a malformed timing")
+    now = F.lit(seconds_of(clock))
+    whole = F.array(F.struct(F.lit(WHOLE_DAY_AT).alias("start"), F.lit(None).cast("int").alias("stop")))
+    each = F.explode(F.when(F.col("timing").isNull(), whole).otherwise(stretches(F.col("timing")))).alias("x")
+    begun = events.select(symbol, "kind", each).select(symbol, "kind", "x.*").where(F.col("start") <= now)
+    lasts = (F.col("kind") == "S") & (now < F.col("stop"))
+    state = F.when(F.col("kind") == "S", F.col("stop").isNull() | (now < F.col("stop"))).when(F.col("kind") == "R", False)
+    last = begun.withColumns({"active": F.coalesce(lasts, F.lit(False)), "state": state, "last": F.max("start").over(Window.partitionBy(symbol))})
+    at_last = lambda c: F.max(F.when(F.col("start") == F.col("last"), c))
+    seen = last.groupBy(symbol).agg(F.bool_or("active").alias("active"), *[at_last(c).alias(n) for n, c in (("yes", F.coalesce("state", F.lit(False))), ("no", F.coalesce(~F.col("state"), F.lit(False))), ("unknown", F.col("state").isNull()))])
+    kinds = F.col("yes").cast("int") + F.col("no").cast("int") + F.col("unknown").cast("int")
+    decided = F.when(F.col("active"), True).when((kinds == 1) & ~F.col("unknown"), F.col("yes"))
+    out = symbols.join(seen, symbol, "left")
+    return out.select(symbol, F.when(F.col("active").isNotNull(), decided).otherwise(F.lit(False) if covered else F.lit(None).cast("boolean")).alias("suspended"))

@@ -6,6 +6,7 @@ events stand for quotes (a symbol is a user_id), orders for announcements and se
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from tidegauge.functions import calendar as cal
 from tidegauge.functions.values import at_clock, last_first
+from tidegauge.identity import CodeHistory
 from tidegauge.operators import bars, checks, tables, trading, versions
 from tidegauge.sources.store import Store, TableConfig
 from tidegauge.streaming.quotes import replay
@@ -92,14 +94,16 @@ def pit_current_masked(spark, d):
     return versions.masked(today, ["close", "high"], at_clock(F.col("day"), "16:05") <= F.lit(EARLY).cast("timestamp_ntz"))
 
 
-@query(f"WITH {_CAL} SELECT cal_date, (SELECT min(n.cal_date) FROM cal n WHERE n.is_open AND n.cal_date > cal.cal_date) AS next_session FROM cal")
+@query(f"WITH {_CAL}, sparse AS (SELECT * FROM cal WHERE day(cal_date) % 3 <> 0) SELECT l_orderkey, l_linenumber, (SELECT min(n.cal_date) FROM sparse n WHERE n.is_open AND n.cal_date > CAST(l_shipdate AS DATE)) AS next_session FROM lineitem")
 def next_session(spark, d):
-    return cal.with_sessions(_calendar(spark, d)).select("cal_date", "next_session")
+    """Of days that may not be in the calendar, which lacks a third of them."""
+    rows = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
+    return cal.join_next_session(rows, _calendar(spark, d).where("day(cal_date) % 3 <> 0"), "day").drop("day")
 
 
 @query(f"WITH {_CAL} SELECT max(cal_date) AS previous_session FROM cal WHERE is_open AND cal_date < DATE '1997-03-17'")
 def previous_session(spark, d):
-    return _calendar(spark, d).where("is_open and cal_date < date'1997-03-17'").agg(F.max("cal_date").alias("previous_session"))
+    return cal.previous_open(_calendar(spark, d), "1997-03-17").select(F.col("cal_date").alias("previous_session"))
 
 
 @query(f"WITH {_CAL} SELECT cal_date, is_open, (SELECT max(n.cal_date) FROM cal n WHERE n.is_open AND n.cal_date < cal.cal_date) AS previous_session FROM cal WHERE cal_date >= DATE '1996-01-01' AND cal_date < DATE '1997-01-01'")
@@ -161,16 +165,22 @@ def status_merge(spark, d):
     return out.select("n_name", "customers", "suppliers", status.alias("status"))
 
 
-@query("""WITH e AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'S' ELSE 'R' END AS kind, 9 * 60 + 30 + (event_id % 200) AS a, 9 * 60 + 30 + (event_id % 200) + 30 AS b FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10'),
-s AS (SELECT *, max(a) OVER (PARTITION BY user_id) AS last FROM e WHERE a <= 660),
-t AS (SELECT user_id, bool_or(kind = 'S' AND 660 < b) AS act, count(DISTINCT CASE WHEN a = last THEN kind END) AS kinds, max(CASE WHEN a = last THEN kind END) AS kind FROM s GROUP BY 1)
-SELECT u.user_id, CASE WHEN t.user_id IS NULL THEN false WHEN act THEN true WHEN kinds > 1 THEN NULL ELSE kind = 'S' END AS suspended FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN t USING (user_id)""")
+@query("""WITH e AS (SELECT user_id, CASE event_id % 5 WHEN 0 THEN 'R' WHEN 1 THEN 'X' ELSE 'S' END AS kind, event_id % 7 = 0 AS whole, 34200 + event_id % 200 * 60 + event_id % 50 AS a, 36000 + event_id % 200 * 60 + event_id % 50 AS b FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10'),
+s AS (SELECT user_id, CASE WHEN whole THEN 33900 ELSE a END AS start, CASE WHEN kind = 'X' THEN NULL WHEN kind = 'R' THEN false ELSE whole OR 39600 < b END AS state, kind = 'S' AND NOT whole AND 39600 < b AS active FROM e WHERE whole OR a <= 39600),
+l AS (SELECT *, max(start) OVER (PARTITION BY user_id) AS last FROM s),
+t AS (SELECT user_id, bool_or(active) AS active, count(DISTINCT coalesce(CAST(state AS VARCHAR), 'unknown')) FILTER (WHERE start = last) AS kinds, bool_or(state) FILTER (WHERE start = last) AS state FROM l GROUP BY 1)
+SELECT u.user_id, CASE WHEN t.user_id IS NULL THEN false WHEN active THEN true WHEN kinds = 1 THEN state END AS suspended FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN t USING (user_id)""")
 def suspension_state(spark, d):
+    """At 11:00: whole days, stretches with seconds, expired ones, kinds that no rule knows."""
     events = _read(spark, d, "events")
-    clock = lambda m: F.concat(F.floor(m / 60).cast("string"), F.lit(":"), F.lpad((m % 60).cast("string"), 2, "0"))
-    start = F.lit(570) + F.col("event_id") % 200
-    today = events.where("to_date(ts) = date'2024-01-10'").select("user_id", F.when(F.col("event_id") % 2 == 0, "S").otherwise("R").alias("kind"), F.concat(clock(start), F.lit("-"), clock(start + 30)).alias("timing"))
-    return versions.suspended(today, events.select("user_id").distinct(), "user_id", "11:00")
+    return versions.suspended(_suspensions(events.where("to_date(ts) = date'2024-01-10'"), "user_id"), events.select("user_id").distinct(), "user_id", "11:00:00")
+
+
+def _suspensions(events: DataFrame, symbol: str) -> DataFrame:
+    start = F.lit(34200) + F.col("event_id") % 200 * 60 + F.col("event_id") % 50
+    clock = lambda s: F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    kind = F.when(F.col("event_id") % 5 == 0, "R").when(F.col("event_id") % 5 == 1, "X").otherwise("S")
+    return events.select(symbol, kind.alias("kind"), F.when(F.col("event_id") % 7 != 0, F.concat(clock(start), F.lit(" - "), clock(start + 1800))).alias("timing"))
 
 
 @query("SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice DESC) = 1")
@@ -190,11 +200,29 @@ def union_by_name(spark, d):
     return o.where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice").unionByName(o.where("o_orderstatus = 'O'").select("o_totalprice", "o_orderkey"), allowMissingColumns=True)
 
 
-@query("SELECT DISTINCT n_nationkey % 20 AS n_nationkey, n_regionkey % 1 AS grp FROM nation")
+@query("SELECT DISTINCT 'C' || CASE WHEN o_custkey % 3 = 1 THEN o_custkey - 1 ELSE o_custkey END AS code, o_orderdate, o_totalprice, o_orderkey FROM orders UNION SELECT 'C' || CASE WHEN o_custkey % 3 = 1 THEN o_custkey - 1 ELSE o_custkey END, o_orderdate, o_totalprice, o_orderkey FROM orders WHERE o_custkey % 3 = 0")
 def alias_canonical(spark, d):
-    n = _read(spark, d, "nation")
-    aliases = n.where("n_nationkey >= 20").select(F.col("n_nationkey").alias("code"), (F.col("n_nationkey") % 20).alias("canonical"))
-    return versions.canonicalise(n.select("n_nationkey", (F.col("n_regionkey") % 1).alias("grp")), aliases, "n_nationkey", ["n_nationkey"])
+    """Each third customer has a second code; rows that the source gave under both are one."""
+    o = _read(spark, d, "orders").selectExpr("'C' || o_custkey code", "o_custkey", "o_orderdate", "o_totalprice", "o_orderkey")
+    both = o.unionByName(o.where("o_custkey % 3 = 0").withColumn("code", F.expr("'C' || (o_custkey + 1)"))).drop("o_custkey")
+    return _history(spark, d).canonicalise(both, "code", ["o_orderkey"])
+
+
+def _history(spark, d) -> CodeHistory:
+    """Customers 3k and 3k + 1 are one security, whose code changes on 1995-01-01."""
+    keys = _read(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    both = keys.union(keys.select(F.col("k") + 1)).distinct()
+    sid = F.when(F.col("k") % 3 == 1, F.col("k") - 1).otherwise(F.col("k")) + 1
+    second, paired = F.col("k") % 3 == 1, F.col("k") % 3 == 0
+    known = both.select(sid.cast("long").alias("sid"), F.concat(F.lit("C"), F.col("k")).alias("code"), F.when(second, F.lit("1995-01-01")).otherwise(F.lit("1900-01-01")).cast("date").alias("valid_from"), F.when(paired, F.lit("1995-01-01").cast("date")).alias("valid_to"))
+    return CodeHistory(known)
+
+
+@query("SELECT 'C' || CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS code, o_orderkey FROM orders")
+def alias_relabelled(spark, d):
+    """Rows under the codes that are valid on a day after the change."""
+    history = _history(spark, d)
+    return history.relabel(history.canonicalise(_read(spark, d, "orders").selectExpr("'C' || o_custkey code", "o_orderkey"), "code"), "code", "1996-01-01")
 
 
 @query("SELECT 'duplicate_key_v1' AS rule, 'ERROR' AS severity, l_orderkey || '|' || l_linenumber AS key FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
@@ -320,16 +348,15 @@ def json_extract(spark, d):
     return _read(spark, d, "events").groupBy("event_type").agg(F.sum(F.from_json("props", "k bigint")["k"]).alias("total"))
 
 
-def _work() -> str:
-    return tempfile.mkdtemp(prefix="tidegauge-")
-
-
 def _shared(spark) -> str:
-    """Stores and streams go to the folder that the cluster shares; a folder of this machine only where none is set."""
-    import uuid
-
+    """Stores and streams go to the folder that the cluster shares; a folder of this machine serves a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/tidegauge/{uuid.uuid4().hex}" if root else _work()
+    if not root:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tidegauge-")
+    return f"{root.rstrip('/')}/tidegauge/{uuid.uuid4().hex}"
 
 
 @query("SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
