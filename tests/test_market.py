@@ -1,20 +1,24 @@
 """Every market query against its SQL, and small cases for the operators."""
 
 import glob
+import json
 import math
 import os
+from datetime import date
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.errors import DataError, RequestError, ResultTooLargeError, UnavailableError
 from tidegauge.functions import calendar as cal
 from tidegauge.functions import values
-from tidegauge.operators import bars, checks, tables, trading, versions
-from tidegauge.plans import views  # noqa: F401  (registers its queries)
+from tidegauge.operators import bars, checks, detect, rules, tables, trading, versions
+from tidegauge.plans import quality, views  # noqa: F401  (they register their queries)
 from tidegauge.plans.market import ORACLE_SQL, QUERIES
-from tidegauge.sources.store import Store, TableConfig
+from tidegauge.reader import Catalog
+from tidegauge.sources.store import Buffered, Conflict, Store, TableConfig
 
 DATA = "/root/testdata/sf0.001"
 
@@ -183,5 +187,131 @@ def test_store(spark, tmp_path):
         store.replace("t", ("a",), row(("b", 1, 1.0)))
     store.replace("t", ("a",), row())
     assert store.read("t").count() == 1
+    store.append("t", spark.sql("select 7 id, 'c' day, 1 value"))  # in another order, types that fit
+    assert store.read("t", "c").first().value == 1.0 and store.read("t", {"day": "c"}).count() == store.read("t", [("c",), ("d",)]).count() == 1
     with pytest.raises(DataError):
-        store.append("t", row().select("id", "day", "value"))
+        store.append("t", row().drop("id"))
+    for wrong in ({"id": 1}, ("a", "b")):
+        with pytest.raises(RequestError):
+            store.read("t", wrong)
+    again = Store.open(spark, str(tmp_path))
+    assert again.tables["t"] == store.tables["t"] and again.read("t").count() == 2
+
+
+def test_partitions_are_pruned_by_filters(spark, tmp_path):
+    kind = spark.sql("select date'2024-01-01' day, 1 k, 1.0d v").schema
+    store = Store(spark, str(tmp_path), {"t": TableConfig("t", kind, ("day", "k"))})
+    store.append("t", spark.sql("select date_add(date'2024-01-01', cast(id % 5 as int)) day, if(id % 3 = 0, null, cast(id % 3 as int)) k, id * 1d v from range(30)").coalesce(1))
+    read = lambda *f: store.read("t", filters=list(f))
+    files = lambda *f: len(read(*f).inputFiles())
+    assert files(("v", ">=", 0.0)) == 15 and files(("day", "=", "2024-01-02")) == 3 and files(("day", ">", date(2024, 1, 3)), ("k", "=", None)) == 2
+    assert files([("day", "=", "2024-01-01"), ("k", "in", [1])], [("k", "=", 2), ("v", ">", 100.0)]) == 6 and read(("k", "=", None)).count() == 10
+    assert read(("k", "!=", None), ("day", "not in", ["2024-01-01"])).count() == 16
+    assert store.read("t", {"day": date(2024, 1, 1), "k": None}).count() == 2
+
+
+def test_two_writers_of_a_partition(spark, tmp_path):
+    kind = spark.sql("select 'a' day, 1L id").schema
+    made = lambda: Store(spark, str(tmp_path), {"t": TableConfig("t", kind, ("day",), ("id",), ("id",))}, grace=0)
+    one, two = made(), made()
+    one.append("t", spark.sql("select 'a' day, id from range(5)"))
+    (folder,) = one.folders("t")
+    stale = one.manifest(folder)
+    two.append("t", spark.sql("select 'a' day, id from range(5, 9)"))
+    with pytest.raises(Conflict):
+        one._commit(folder, stale, [])
+    one.append("t", spark.sql("select 'a' day, id from range(9, 10)"))
+    assert one.read("t").count() == two.read("t").count() == 10
+    for k in range(20):
+        two.append("t", spark.sql(f"select 'a' day, {k}L id"))
+    with pytest.raises(Conflict):  # the manifests that it knew are gone
+        one._commit(folder, stale, [])
+    assert two.compact("t") == 1 and two.compact("t") == 0 and sorted(r.id for r in two.read("t").collect()) == sorted({*range(10), *range(20)})
+
+
+def test_older_manifests_and_missing_files(spark, tmp_path):
+    kind = spark.sql("select 'a' day, 1L id").schema
+    store = Store(spark, str(tmp_path), {"t": TableConfig("t", kind, ("day",), (), ("id",))})
+    store.append("t", spark.sql("select 'a' day, 1L id"))
+    (folder,) = store.folders("t")
+    name = store.manifest(folder)["files"][0]
+    store._fs().delete(store._path(f"{folder}/_manifest.1.json"), False)
+    with open(f"{tmp_path}/{folder}/_manifest.json", "w") as f:
+        f.write(json.dumps({"version": 1, "files": [name]}))
+    assert store.read("t").count() == 1 and store.manifest(folder)["file_committed_at"] == {name: 0}
+    store.append("t", spark.sql("select 'a' day, 2L id"))
+    assert store.read("t").count() == 2
+    os.remove(f"{tmp_path}/{folder}/{name}")
+    with pytest.raises(UnavailableError):
+        store.read("t")
+    with open(f"{tmp_path}/{folder}/_manifest.9.json", "w") as f:
+        f.write('{"files": ["../x"]}')
+    with pytest.raises(ValueError):
+        store.manifest(folder)
+
+
+def test_buffered_rows(spark, tmp_path):
+    kind = spark.sql("select 'a' day, 1L id").schema
+    store = Store(spark, str(tmp_path), {"t": TableConfig("t", kind, ("day",), (), ("id",))})
+    rows = lambda *ids: pa.table({"id": list(ids), "day": ["a"] * len(ids)})
+    with Buffered(store, rows=3) as held:
+        held.append("t", rows(1))
+        held.append("t", rows())
+        assert store.read("t").isEmpty()
+        held.append("t", rows(2, 3))
+        assert store.read("t").count() == 3
+        held.append("t", rows(4))
+        with pytest.raises(DataError):
+            held.append("t", pa.table({"id": [1]}))
+    held.close()
+    assert store.read("t").count() == 4
+    with pytest.raises(RequestError):
+        held.append("t", rows(5))
+
+
+def test_files_of_a_store_are_checked(spark, tmp_path):
+    kind = spark.sql("select 'a' day, 1L id").schema
+    store = Store(spark, str(tmp_path), {"t": TableConfig("t", kind, ("day",), (), ("id",))})
+    store.append("t", spark.sql("select explode(array('a', 'b', 'c', 'd', 'e f')) day, 1L id"))
+    assert detect.file_issues(store, "t").collect() == []
+    a, b, c, d, _ = store.folders("t")
+    (file_a,), (file_b,), (file_d,) = (store.manifest(x)["files"] for x in (a, b, d))
+    for crc in glob.glob(f"{tmp_path}/t/*/.*.crc"):
+        os.remove(crc)
+    os.replace(f"{tmp_path}/{a}/{file_a}", f"{tmp_path}/{b}/{file_b}")  # a's file is missing, b has a's row
+    with open(f"{tmp_path}/{c}/_manifest.7.json", "w") as f:
+        f.write("no json")
+    spark.sql("select 'd' day, 'x' id").coalesce(1).write.parquet(f"{tmp_path}/other")
+    os.replace(glob.glob(f"{tmp_path}/other/*.parquet")[0], f"{tmp_path}/{d}/{file_d}")
+    found = {(r.rule, r.partition) for r in detect.file_issues(store, "t").where("rule <> 'partition_value_v1'").collect()}
+    assert found == {("manifest_file_missing_v1", a), ("manifest_v1", c), ("schema_v1", d)}
+    with open(f"{tmp_path}/{d}/{file_d}", "w") as f:
+        f.write("no parquet")
+    assert "parquet_read_v1" in {r.rule for r in detect.file_issues(store, "t").where("rule <> 'partition_value_v1'").collect()}
+    store.replace("t", "d", spark.sql("select 'd' day, 1L id"))
+    store.replace("t", "c", spark.sql("select 'c' day, 1L id")) if store._put(f"{c}/_manifest.8.json", '{"files": []}') else None
+    assert [r.partition for r in detect.misplaced(store, "t").collect()] == ["t/day=value%3Ab"]
+
+
+def test_reports(spark, tmp_path):
+    frames = {"adj_factor": spark.sql("select date'2024-01-02' trade_date, 'a' ts_code, 0d adj_factor"), "daily_basic": spark.createDataFrame([], "trade_date date, ts_code string, " + ", ".join(f"{c} double" for c in rules.NOT_NEGATIVE)),
+              "stock_basic": spark.sql("select date'2024-01-02' list_date, 'a.SH' ts_code, 'a' symbol, 'SSE' exchange, 'L' list_status, cast(null as date) delist_date"),
+              "trade_cal": spark.sql("select e exchange, date'2024-01-02' cal_date, 1 is_open, date'2023-12-29' pretrade_date from values ('SSE'), ('SZSE') t(e)")}
+    catalog = Catalog(frames)
+    found = detect.detect(frames, "2024-01-03", snapshot_id=catalog.snapshot_id)
+    assert not found.passed and found.row_counts == {"stock_basic": 1, "daily_basic": 0, "adj_factor": 1, "trade_cal": 2}
+    bad = {(d, r): s for d, r, s, _ in found.checks if s != "PASS"}
+    assert bad == {("adj_factor", "adj_factor_positive_v1"): "FAIL", ("daily_basic", "dataset_empty_v1"): "FAIL", ("trade_cal", "calendar_date_coverage_v1"): "FAIL"}
+    found.write(str(tmp_path / "report"))
+    again = detect.read_report(spark, str(tmp_path / "report"))
+    assert again.checks == found.checks and again.row_counts == found.row_counts and sorted(r.issue_id for r in again.issues.collect()) == sorted(r.issue_id for r in found.issues.collect())
+    checked = catalog.with_status(found.status())
+    assert checked.table("stock_basic").count() == 1
+    with pytest.raises(UnavailableError):
+        checked.table("adj_factor")
+    assert detect.detect(frames, "2024-01-02", "2024-01-02", ["trade_cal", "stock_basic"]).passed
+    row = again.issues.where("rule = 'adj_factor_positive_v1'").first()
+    assert (row.key, row.day, row.fix) == ('{"trade_date":"2024-01-02","ts_code":"a"}', date(2024, 1, 2), "MANUAL")
+    for wrong in (lambda: detect.detect(frames, "2024-01-02", datasets=["x"]), lambda: detect.detect(frames, "2024-01-02", "2024-01-03"), lambda: detect.read_report(spark, str(tmp_path / "report" / "part*"[:0]) + "/_SUCCESS")):
+        with pytest.raises(RequestError):
+            wrong()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.values import is_close, is_finite
+from tidegauge.operators.rules import samples
 
 
 def issues(df: DataFrame, rule: str, broken: Column, keys: list[str], severity: str = "ERROR") -> DataFrame:
@@ -47,8 +48,9 @@ def uncovered(df: DataFrame, other: DataFrame, keys: list[str], rule: str) -> Da
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """(rule, severity, issues, sample): counts, and the ten smallest keys of each rule."""
-    return found.groupBy("rule", "severity").agg(F.count("*").alias("issues"), F.array_join(F.slice(F.sort_array(F.collect_set("key")), 1, 10), ",").alias("sample"))
+    """(rule, severity, issues, sample): counts, and the ten smallest different keys of each rule, comma-joined."""
+    out = samples(found, ["rule", "severity"], "key")
+    return out.select("rule", "severity", F.col("count").alias("issues"), F.array_join("samples", ",").alias("sample"))
 
 
 def outcome(found: DataFrame) -> str:

@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Mapping
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,16 +76,14 @@ def patch(store: Store, name: str, partitions: list[tuple], patches: DataFrame,
     joined = rows.join(renamed, same, "left")
     fixed = joined.where(~F.coalesce("_delete", F.lit(False))).select(*[F.coalesce(f"_v_{c}", c).alias(c) if c in values else F.col(c) for c in table.schema.names])
     repair = uuid.uuid4().hex
-    journal = {"id": repair, "status": "PREPARED", "table": name, "partitions": [list(p) for p in partitions], "files": []}
-    base = f"{store.root.rstrip('/')}/_repairs/{repair}"
-    for k, p in enumerate(partitions):
-        store.read(name, [p]).write.parquet(f"{base}/before{k}")
-        fixed.where(store._only(table, p)).write.parquet(f"{base}/after{k}")
+    folders = store.select(name, partitions)
+    seen = {f: store.manifest(f) for f in folders}
+    rows.write.parquet(f"{store.root.rstrip('/')}/_repairs/{repair}/before")
+    made = store._write(table, fixed)
+    journal = {"id": repair, "status": "PREPARED", "table": name, "files": {f: made.get(f, []) for f in folders}}
     _write_journal(store, journal)
-    for k, p in enumerate(partitions):
-        store.replace(name, p, store.spark.read.schema(table.schema).parquet(f"{base}/after{k}"))
-        journal["files"].append(store.manifest(store._folder(table, p))["files"])
-        _write_journal(store, journal)
+    for f in folders:
+        store._commit(f, seen[f], made.get(f, []))
     _write_journal(store, journal | {"status": "COMMITTED"})
     return repair
 
@@ -96,10 +95,11 @@ def rollback(store: Store, repair: str) -> None:
     if journal["status"] not in ("COMMITTED", "PREPARED"):
         raise RequestError(f"repair {repair} is {journal['status']}")
     table = store._table(journal["table"])
-    done = list(zip(journal["partitions"], journal["files"], strict=False))
-    for p, files in done:
-        if store.manifest(store._folder(table, tuple(p)))["files"] != files:
-            raise DataError(f"repair {repair}: rows changed since")
-    for k, (p, _) in enumerate(done):
-        store.replace(journal["table"], tuple(p), store.spark.read.schema(table.schema).parquet(f"{store.root.rstrip('/')}/_repairs/{repair}/before{k}"))
+    now = {f: store.manifest(f) for f in journal["files"]}
+    done = [f for f, files in journal["files"].items() if now[f]["files"] == files]
+    if journal["status"] == "COMMITTED" and len(done) < len(now):
+        raise DataError(f"repair {repair}: rows changed since")
+    before = store.spark.read.schema(table.schema).parquet(f"{store.root.rstrip('/')}/_repairs/{repair}/before")
+    folder = F.concat_ws("/", F.lit(table.name), *[F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.lit("value:"), F.col(c).cast("string")), F.lit("null"))) for c in table.partition_by])
+    store.replace_all(journal["table"], done, before.where(folder.isin([unquote(f) for f in done])), {f: now[f] for f in done})
     _write_journal(store, journal | {"status": "ROLLED_BACK"})

@@ -5,9 +5,6 @@ events stand for quotes (a symbol is a user_id), orders for announcements and se
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,6 +13,7 @@ from tidegauge.functions import calendar as cal
 from tidegauge.functions.values import at_clock, last_first
 from tidegauge.identity import CodeHistory
 from tidegauge.operators import bars, checks, tables, trading, versions
+from tidegauge.scratch import folder
 from tidegauge.sources.store import Store, TableConfig
 from tidegauge.streaming.quotes import replay
 
@@ -349,14 +347,8 @@ def json_extract(spark, d):
 
 
 def _shared(spark) -> str:
-    """Stores and streams go to the folder that the cluster shares; a folder of this machine serves a local master only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tidegauge-")
-    return f"{root.rstrip('/')}/tidegauge/{uuid.uuid4().hex}"
+    """Stores and streams go to the folder that the cluster shares."""
+    return folder(spark, "work")
 
 
 @query("SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -374,6 +366,5 @@ def store_round_trip(spark, d):
     store = Store(spark, _shared(spark), {"orders": table})
     store.append("orders", orders.where("o_orderkey % 2 = 0"))
     store.append("orders", orders)
-    for status in [r[0] for r in orders.select("o_orderstatus").distinct().collect()]:
-        store.compact("orders", (status,))
+    store.compact("orders")
     return store.read("orders", filters=[[("o_orderstatus", "!=", "P")], [("o_totalprice", ">", 1000)]])
