@@ -1,25 +1,34 @@
 import json
-from datetime import date
+from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.errors import DataError, RequestError
+from tidegauge.operators import actions as acts
 from tidegauge.operators import backtest as bt
-from tidegauge.operators import repair
+from tidegauge.operators import bars as price
+from tidegauge.operators import clock, repair, trading
 from tidegauge.sources.store import Store, TableConfig
 
 A, B = "600000.SH", "000001.SZ"
 D = [date(2024, 1, d) for d in (2, 3, 4, 5, 8)]
 FREE = bt.Config(cash=10_000.0, commission=0.0)
+HOURS = clock.Hours()
 
 
 def bar(p, close=None, volume=1e6, **x):
     return {"open": p, "close": p if close is None else close, "up_limit": 1000.0, "down_limit": 0.01, "suspended": False, "previous_volume": volume} | x
 
 
-def walk(bars, targets, config=FREE, actions=()):
+def walk(bars, targets, config=FREE, actions=(), lives=None, strategy=None, symbols=None):
+    """Rows of one run over daily bars {day: {symbol: bar}}; with a strategy, targets are not looked at."""
     names = [c.split()[0] for c in bt.SCHEMA.split(", ")]
-    return [dict(zip(names, r, strict=True)) for r in bt.run_sessions("r", bars, targets, config, actions)]
+    days = sorted(bars)
+    start = lambda d: datetime.combine(d, datetime.min.time().replace(hour=9, minute=30))
+    feed = [(datetime.combine(d, datetime.min.time().replace(hour=16, minute=5)), {s: x | {"start": start(d)} for s, x in bars[d].items()}) for d in days if bars[d]]
+    walker = bt.Walk(strategy or bt.Targets(dict(targets)), config, list(actions), lives, days, symbols)
+    return [dict(zip(names, r, strict=True)) for r in bt.walk("r", feed, walker, days, HOURS, days)]
 
 
 def test_orders_trade_at_the_next_open_and_sell_first():
@@ -35,7 +44,7 @@ def test_orders_trade_at_the_next_open_and_sell_first():
 @pytest.mark.parametrize(("change", "reason"), [({"open": None}, "missing_open"), ({"suspended": True}, "suspended"), ({"suspended": None}, "unknown_status"), ({"up_limit": None}, "unknown_status"), ({"up_limit": 5.0}, "invalid_open"), ({"up_limit": 10.0}, "limit_up")])
 def test_blocked_orders_say_why(change, reason):
     rows = walk({D[0]: {A: bar(10.0)}, D[1]: {A: bar(10.0) | change, B: bar(1.0)}}, {D[0]: {A: 0.5}})
-    assert [(r["kind"], r["reason"]) for r in rows if r["kind"] != "equity"] == [("blocked", reason)] and rows[-1]["equity"] == 10_000
+    assert [(r["kind"], r["reason"]) for r in rows if r["kind"] != "equity"] == [("submitted", ""), ("blocked", reason)] and rows[-1]["equity"] == 10_000
 
 
 def test_cash_volume_and_one_day_rule():
@@ -47,6 +56,8 @@ def test_cash_volume_and_one_day_rule():
     account = bt.Account(FREE, 0.0)
     account.held[A] = bt.Holding(quantity=100, sellable=0, price=10.0)
     assert bt.execute(account, A, True, 100, bar(10.0), D[0]) == (0, 10.0, "insufficient_sellable")
+    account.held[A].sellable = 100
+    assert bt.execute(account, A, True, 100, bar(0.01, down_limit=0.001), D[0]) == (0, None, "insufficient_cash")
 
 
 def test_dividends_pay_those_who_held():
@@ -57,6 +68,165 @@ def test_dividends_pay_those_who_held():
     assert [round(r["cash"] - base["cash"], 6) for r in rows[2:]] == [0, 500, 500]
 
 
+BASE = {"symbol": A, "record_date": D[1], "ex_date": D[2], "pay_date": D[3], "list_date": D[4], "cash": 1.0, "shares": 0.1, "conflict": None}
+
+
+@pytest.mark.parametrize(("change", "text"), [({"conflict": "record date"}, "versions"), ({"pay_date": None}, "pay date"), ({"list_date": None}, "listing date"), ({"record_date": D[3]}, "no holding"), ({"pay_date": D[1]}, "pay date"), ({"list_date": D[1]}, "listing date"), ({"cash": -1.0}, "amount"), ({"shares": float("nan")}, "ratio"), ({"ex_date": date(2024, 1, 6), "pay_date": D[4]}, "no session"), ({"pay_date": D[2], "ex_date": D[3]}, "before the ex date")])
+def test_faulty_dividends_stop_those_who_hold(change, text):
+    bars = {d: {A: bar(10.0)} for d in D}
+    with pytest.raises(DataError, match=text):
+        walk(bars, {D[0]: {A: 0.5}}, actions=[BASE | change])
+    assert walk(bars, {}, actions=[BASE | change])[-1]["equity"] == 10_000  # those who do not hold are not concerned
+
+
+def test_dividends_without_an_ex_date_and_canceled_orders():
+    rows = walk({d: {A: bar(10.0)} for d in D}, {D[0]: {A: 0.5}, D[1]: {}}, actions=[BASE | {"ex_date": D[2]}])
+    assert [(r["kind"], r["reason"]) for r in rows if r["day"] == D[2] and r["kind"] != "equity"] == [("canceled", "corporate_action")]
+    rows = [r for r in walk({d: {A: bar(10.0)} for d in D}, {D[0]: {A: 0.5}}, actions=[BASE | {"ex_date": None}]) if r["kind"] == "equity"]
+    assert [round(r["equity"] - rows[1]["equity"], 6) for r in rows[2:]] == [0, 500, 1000] and rows[2]["receivable"] == 0
+    early = walk({d: {A: bar(10.0)} for d in D}, {D[0]: {A: 0.5}}, actions=[BASE | {"record_date": D[0], "ex_date": D[3], "pay_date": D[4]}])
+    assert early[-1]["receivable"] == 0 and early[-1]["equity"] < 10_000  # bought after the record day
+
+
+def test_weekend_record_dates_count_with_the_session_before():
+    friday, monday = date(2024, 1, 5), date(2024, 1, 8)
+    days = {d: {A: bar(10.0)} for d in (D[2], friday, monday, date(2024, 1, 9))}
+    claims = acts.Claims([BASE | {"record_date": date(2024, 1, 6), "ex_date": monday, "pay_date": date(2024, 1, 9), "list_date": None, "shares": 0.0}], sorted(days))
+    assert claims.by["record_date"] == {friday: [0]}
+    assert acts.Claims([BASE | {"record_date": date(2024, 1, 1)}], D).entitled == {0: 0}
+
+
+def test_delisted_holdings():
+    bars = {d: {A: bar(10.0)} if d < D[3] else {} for d in D}
+    lives = {A: (date(2000, 1, 1), D[3])}
+    with pytest.raises(DataError, match="delisted"):
+        walk(bars, {D[0]: {A: 0.5}}, lives=lives)
+    rows = walk(bars, {D[0]: {A: 0.5}}, bt.Config(cash=10_000.0, commission=0.0, delisting="write_off"), lives=lives)
+    assert rows[-1]["holdings"] == 0 and rows[-1]["equity"] == rows[-1]["cash"] == pytest.approx(10_000 - 5005.05)
+    for wrong in ({}, {A: (date(2000, 1, 1), None), B: (None, None)}, {A: (date(2030, 1, 1), None)}):
+        if A not in wrong or wrong[A][0] > D[0]:
+            with pytest.raises(DataError):
+                walk(bars, {D[0]: {A: 0.5}}, lives=wrong)
+    stale = [r["stale"] for r in walk(bars, {D[0]: {A: 0.5}}) if r["kind"] == "equity"]
+    assert stale == [0, 0, 0, 1, 1]
+
+
+class Swing(bt.Strategy):
+    """Buys after two closes, orders and takes back, and sees no bar that is not complete."""
+
+    lookback = 2
+
+    def __init__(self):
+        self.seen, self.ids = [], []
+
+    def on_event(self, c):
+        self.seen.append((c.day, [p for _, p in c.closes(A)], c.account.quantity(A), len(c.pending)))
+        if c.day == D[1]:
+            self.ids = [c.order(A, "buy", 100), c.order(A, "buy", 200)]
+            assert c.cancel(self.ids[0]) and not c.cancel(99)
+        if c.day == D[3]:
+            return {}
+        if c.day == D[4]:
+            c.order(A, "buy", 100)
+        return None
+
+
+def test_strategies_are_called_with_what_they_may_know():
+    strategy = Swing()
+    rows = walk({d: {A: bar(10.0 + k)} for k, d in enumerate(D)}, {}, strategy=strategy)
+    assert strategy.seen == [(D[0], [10.0], 0, 0), (D[1], [10.0, 11.0], 0, 0), (D[2], [11.0, 12.0], 200, 0), (D[3], [12.0, 13.0], 200, 0), (D[4], [13.0, 14.0], 0, 0)]
+    assert [(r["kind"], r["order_id"], r["quantity"], r["reason"]) for r in rows if r["kind"] not in ("equity",)] == [
+        ("submitted", 1, 100, ""), ("submitted", 2, 200, ""), ("canceled", 1, 100, "strategy"), ("fill", 2, 200, ""), ("submitted", 3, 200, ""), ("fill", 3, 200, ""), ("submitted", 4, 100, ""), ("expired", 4, 100, "end_of_backtest")]
+    for order in ((A, "buy", 50), (A, "buy", 2_000_000), ("1.X", "buy", 100), (A, "hold", 100), (A, "buy", 1.5), (B, "buy", 100)):
+        class Wrong(bt.Strategy):
+            def on_event(self, c):
+                c.order(*order)  # noqa: B023
+
+        with pytest.raises((RequestError, DataError)):
+            walk({D[0]: {A: bar(10.0)}}, {}, strategy=Wrong(), symbols={A})
+
+
+def test_events_of_a_session():
+    daily = clock.timeline(D[:1])
+    assert [(e.kind, e.at.hour, e.at.minute) for e in daily] == [("session_start", 9, 25), ("bar", 16, 5), ("strategy", 16, 5), ("session_end", 16, 5)]
+    hourly = clock.timeline(D[:2], "60m", schedule=clock.Schedule("day", at="13:00"))
+    assert [(e.kind, f"{e.at:%H:%M}", f"{e.start:%H:%M}") for e in hourly[:8]] == [("session_start", "09:25", "09:25"), ("auction", "09:30", "09:15"), ("bar", "10:30", "09:30"), ("bar", "11:30", "10:30"), ("strategy", "13:00", "13:00"), ("bar", "14:00", "13:00"), ("bar", "15:00", "14:00"), ("session_end", "16:05", "16:05")]
+    assert len([e for e in clock.timeline(D[:1], "1m") if e.kind == "bar"]) == 240 and len([e for e in clock.timeline(D[:1], "1m", schedule=clock.Schedule("7m")) if e.kind == "strategy"]) == 34
+    ends = [e.session for e in clock.timeline(D[:4], schedule=clock.Schedule("week"), calendar=D) if e.kind == "strategy"]
+    assert ends == [D[3]]
+    at = datetime(2024, 1, 3, 10, 30)
+    assert [e.at for e in clock.timeline(D[:2], "60m", schedule=clock.Schedule(times=(at,))) if e.kind == "strategy"] == [at]
+    for wrong in (lambda: clock.timeline(D, schedule=clock.Schedule("week")), lambda: clock.timeline(D, "60m", schedule=clock.Schedule("7m")), lambda: clock.timeline(D[:1], schedule=clock.Schedule(times=(at,))), lambda: clock.timeline(D, "1d", schedule=clock.Schedule("day", at="10:00"))):
+        with pytest.raises(DataError):
+            wrong()
+    for wrong in (lambda: clock.Schedule("year"), lambda: clock.Schedule("bar", at="10:00"), lambda: clock.Schedule("day", times=(at,)), lambda: clock.Hours(end="14:00"), lambda: clock.Hours(segments=()), lambda: clock.timeline(D, "2m"), lambda: clock.timeline(D, "60m", clock.Hours(segments=(("09:30", "11:00"),)))):
+        with pytest.raises(RequestError):
+            wrong()
+
+
+def test_intraday_runs_match_at_the_open_of_the_next_bar(spark):
+    rows = [(datetime(2024, 1, 2, h + 1, m), datetime(2024, 1, 2, h, m), A, 10.0 + k, 10.5 + k) for k, (h, m) in enumerate([(9, 30), (10, 30), (13, 0), (14, 0)])]
+    rows += [(datetime(2024, 1, 2, 9, 30), datetime(2024, 1, 2, 9, 15), A, 9.0, 9.5)]
+    bars = spark.createDataFrame(rows, "at timestamp_ntz, start timestamp_ntz, symbol string, open double, close double").selectExpr("*", "100d up_limit", "1d down_limit", "false suspended", "1000d volume")
+    runs = spark.sql("select explode(array('p', 'q')) run, date'2024-01-02' first, date'2024-01-02' last")
+
+    def make(run):
+        every = clock.Schedule("bar")
+
+        class Once(bt.Strategy):
+            schedule = every
+
+            def on_event(self, c):
+                return {A: 0.5 if run == "p" else 0.0} if c.event.at.hour == 10 else None
+
+        return Once()
+
+    out = bt.simulate(runs, bars, [date(2024, 1, 2)], make, config=bt.Config(cash=10_000.0, frequency="60m")).collect()
+    fills = [(r.run, r.at, r.quantity, r.price) for r in out if r.kind == "fill"]
+    assert fills == [("p", datetime(2024, 1, 2, 10, 30), 400, 11.0)]
+    ends = {r.run: (r.bars, r.stale) for r in out if r.kind == "equity"}
+    assert ends == {"p": (5, 0), "q": (5, 0)}
+
+
+def test_dividend_facts(spark):
+    columns = "symbol string, end_date date, ann_date date, div_proc string, record_date date, ex_date date, pay_date date, div_listdate date, cash_div double, cash_div_tax double, stk_div double, stk_bo_rate double, stk_co_rate double, base_date date, base_share double"
+    row = lambda s, ann, cash, record=D[1], proc="实施", end=D[0], tax=0.5, whole=None: (s, end, ann, proc, record, D[2], D[3], D[4], cash, tax, whole, 0.1, 0.2, None, 1.0)
+    rows = [row("a", D[0], 1.0), row("a", D[1], 1.0), row("b", D[0], 1.0), row("b", D[1], 2.0), row("c", D[0], 1.0), row("c", D[0], 2.0, record=D[2]), row("d", D[0], None), row("e", D[0], 1.0, proc="预案"), row("f", D[0], 1.0, record=None), row("g", D[0], 1.0, whole=0.5)]
+    got = sorted((r.symbol, r.cash, round(r.shares, 6), r.conflict) for r in acts.effective(spark.createDataFrame(rows, columns)).collect())
+    assert got == [("a", 1.0, 0.3, None), ("b", 1.0, 0.3, "record date"), ("b", 2.0, 0.3, "record date"), ("c", 1.0, 0.3, "period and announcement"), ("c", 2.0, 0.3, "period and announcement"), ("d", 0.5, 0.3, None), ("g", 1.0, 0.5, None)]
+
+
+def test_metrics_of_many_runs(spark):
+    bars = spark.createDataFrame([(d, s, 10.0 + k, 10.0 + k, 1000.0, 99.0, 1.0, False) for k, d in enumerate(D) for s in (A, B)], "day date, symbol string, open double, close double, volume double, up_limit double, down_limit double, suspended boolean")
+    targets = spark.createDataFrame([("x", D[0], A, 0.5), ("y", D[0], B, 0.0), ("w", D[1], "600009.SH", 0.5)], "run string, day date, symbol string, weight double")
+    out = bt.backtest(targets, bars, FREE)
+    got = {r.run: r for r in trading.run_metrics(out, 10_000.0).collect()}
+    x = got["x"]
+    path = [r.equity for r in out.where("run = 'x' and kind = 'equity'").orderBy("seq").collect()]
+    returns = [b / a - 1 for a, b in zip([10_000.0, *path], path, strict=False)]
+    import statistics
+
+    assert x.final_equity == path[-1] and x.volatility == pytest.approx(statistics.stdev(returns) * 252**0.5) and x.sharpe == pytest.approx(statistics.fmean(returns) / statistics.stdev(returns) * 252**0.5)
+    assert x.turnover == pytest.approx(5500 / statistics.fmean([10_000.0, *path])) and (x.orders, x.fills, x.n) == (1, 1, 5)
+    assert (got["y"].total_return, got["y"].sharpe, got["y"].max_drawdown) == (0, None, 0)
+    with pytest.raises(DataError, match="w"):
+        bt.require_bars(out)
+
+
+def test_monthly_momentum(spark):
+    days = [date(2024, 1, 30), date(2024, 1, 31), date(2024, 2, 1), date(2024, 2, 28), date(2024, 2, 29), date(2024, 3, 1)]
+    rows = [(d, s, c) for s, closes in {"a": [1, 2, 2, 2, 4, 9], "b": [1, 3, 2, 2, 3, 9], "c": [1, 9, None, 2, 9, 9], "d": [1, 2, 2, 2, 4, 9]}.items() for d, c in zip(days, closes, strict=True) if c is not None]
+    rows = [(d, s, float(c)) for d, s, c in rows]
+    bars = spark.createDataFrame(rows, "day date, symbol string, close double")
+    factors = bars.select("day", "symbol").withColumn("factor", F.when((F.col("symbol") == "d") & (F.col("day") >= days[4]), 2.0).otherwise(1.0))
+    calendar = spark.createDataFrame([(d,) for d in days], "day date")
+    got = {(str(r.day), r.symbol): (r.score, r.weight) for r in price.monthly_momentum(bars, factors, calendar, 2, 2).collect()}
+    assert got == {("2024-02-29", "d"): (3.0, 0.5), ("2024-02-29", "a"): (1.0, 0.5)}
+    allowed = spark.createDataFrame([(days[4], "b"), (days[1], "c")], "day date, symbol string")
+    got = [(str(r.day), r.symbol, r.score, r.weight) for r in price.monthly_momentum(bars, factors, calendar, 1, 2, allowed).orderBy("day").collect()]
+    assert got == [("2024-01-31", "c", 8.0, 1.0), ("2024-02-29", "b", 0.5, 1.0)]
+
+
 def test_board_rules_and_targets():
     assert bt.board_rule("688001.SH", D[0]) == (200, 1, 50_000) and bt.board_rule("300001.SZ", date(2020, 8, 23)) == (100, 100, 1_000_000)
     for symbol, day in (("688001.SH", date(2019, 7, 21)), ("900001.SH", D[0]), ("60000.SH", D[0])):
@@ -77,7 +247,7 @@ def test_runs_are_independent(spark):
     assert [(r.kind, r.day, r.quantity, r.equity) for r in rows if r.run == "x"] == [(r["kind"], r["day"], r["quantity"], r["equity"]) for r in walk(one, {D[0]: {A: 0.5}})]
     assert [(r.side, r.quantity) for r in rows if r.run == "y" and r.kind == "fill"] == [("buy", 400), ("sell", 400)]
     assert [r.equity for r in rows if r.run == "z"] == [10_000] * 5
-    assert {r.run: (r.fills, r.blocked) for r in bt.coverage(out).collect()} == {"x": (1, 0), "y": (2, 0), "z": (0, 0)}
+    assert {r.run: (r.fills, r.blocked, r.sessions_without_bars) for r in bt.coverage(out).collect()} == {"x": (1, 0, 0), "y": (2, 0, 0), "z": (0, 0, 5)}
     with pytest.raises(Exception, match="two bars"):
         bt.backtest(targets, bars.union(bars), FREE).collect()
     assert bt.backtest(targets.limit(0), bars, FREE).isEmpty()

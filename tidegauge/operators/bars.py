@@ -65,3 +65,27 @@ def momentum(bars: DataFrame, symbol: str, day: str, close: str, days: int, top:
     own = bars.join(F.broadcast(window), day, "left_semi").groupBy(symbol).agg(F.count("*").alias("n"), F.bool_and(good).alias("good"), F.min_by(close, day).alias("a"), F.max_by(close, day).alias("b"))
     scored = own.where((F.col("n") == days) & F.col("good")).select(symbol, (F.col("b") / F.col("a") - 1).alias("score"))
     return scored.orderBy(F.desc("score"), symbol).limit(top).withColumn("weight", F.lit(1.0 / top))
+
+
+def monthly_momentum(bars: DataFrame, factors: DataFrame, calendar: DataFrame, lookback: int, top: int, universe: DataFrame | None = None, every: str = "month") -> DataFrame:
+    """(day, symbol, score, weight) at the last session of each month (or week): the `top` symbols by return over exactly
+    `lookback` sessions, prices adjusted by the day's factor.
+
+    bars: day, symbol, close; factors: day, symbol, factor; calendar: the open days. A symbol needs a good close and factor on
+    each of the lookback + 1 sessions. universe: (day, symbol) that may be chosen. Ties go to the smaller symbol; weights are
+    equal. All months are one job: windows by symbol, then the first of each month.
+    """
+    from tidegauge.operators.backtest import period_ends
+
+    numbered = calendar.select("day").distinct().withColumn("_i", F.row_number().over(Window.orderBy("day")))  # a row a session
+    ends = period_ends(calendar.select("day").distinct(), "day", every)
+    price = F.col("close") * F.col("factor")
+    own = bars.join(factors, ["day", "symbol"], "left").join(F.broadcast(numbered), "day").withColumn("_p", F.when((F.col("close") > 0) & ~F.isnan("close") & (F.col("factor") > 0), price))
+    order = Window.partitionBy("symbol").orderBy("_i")
+    window = order.rangeBetween(-lookback, 0)
+    scored = own.withColumns({"_n": F.count("_p").over(window), "_first": F.first("_p").over(window), "_at": F.min("_i").over(window)})
+    good = scored.where((F.col("_n") == lookback + 1) & (F.col("_at") == F.col("_i") - lookback)).join(F.broadcast(ends), "day", "left_semi")
+    ranked = good.select("day", "symbol", (F.col("_p") / F.col("_first") - 1).alias("score")).where(~F.isnan("score") & (F.abs("score") < float("inf")))
+    ranked = ranked if universe is None else ranked.join(universe, ["day", "symbol"], "left_semi")
+    chosen = latest(ranked, ["day"], [F.desc("score"), F.asc("symbol")], top)
+    return chosen.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy("day")))
