@@ -38,6 +38,8 @@ MOST_TOXIC, MOST_CLEAN = 4_000, 16_000
 #: A term is a word or a beginning of words of at least this many letters; it counts if toxic texts have it this many times as
 #: often, a standard error below the estimate.
 LEAST_LETTERS, LONGEST_STEM, LEAST_LIFT = 4, 8, 6.0
+#: Terms that a task counts before it hands its counts on.
+MOST_COUNTED = 200_000
 #: A text's weight is divided by 1 and its words over this many.
 LENGTH = 1_000
 #: How many terms learning looks for in each toxic text.
@@ -237,11 +239,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def count(batches):
         sums = [Counter(), Counter()]
+        out = lambda y: pa.RecordBatch.from_arrays([pa.array(list(sums[y]), pa.string()), pa.array([y] * len(sums[y]), pa.int32()), pa.array(list(sums[y].values()), pa.int64())], ["term", "y", "n"])
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[y].update(terms_of(fold(t)))
-        for y, c in enumerate(sums):
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["term", "y", "n"])
+            for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                sums[y].update(terms_of(fold(t.as_py())))
+                if len(sums[y]) > MOST_COUNTED:  # what a task holds is bounded; partial counts are added up after it
+                    yield out(y)
+                    sums[y].clear()
+        yield from map(out, (0, 1))
 
     kind = "term string, y int, n long"
     least = max(3, n_toxic // 400)
