@@ -238,6 +238,21 @@ def test_shards(spark, tmp_path):
         store.append(df.drop("bytes"))
 
 
+def test_manifests_share_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "SEGMENT", 4)
+    monkeypatch.setattr(shards, "SMALL_SEGMENTS", 2)
+    store = shards.ShardStore(spark, str(tmp_path), target_bytes=1, fan_in=50)
+    for k in range(6):
+        store.append(spark.range(k, k + 1).coalesce(1))
+        now = store.manifest()
+        assert len(now["shards"]) == k + 1 and len([x for x in now["segments"].values() if len(x) < 2]) <= 3
+    first = set(store.manifest(5)["segments"])
+    assert first & set(now["segments"])  # what did not change is not written again
+    assert store.read().count() == 6 and store.read(2).count() == 2
+    store.vacuum()
+    assert sorted(os.listdir(tmp_path / "segments")) == sorted([*now["segments"], *[f".{n}.crc" for n in now["segments"]]]) and store.read().count() == 6
+
+
 def test_two_writers_of_shards_lose_no_row(spark, tmp_path):
     store = shards.ShardStore(spark, str(tmp_path))
     rows = lambda a, b: spark.range(a, b).coalesce(1)
@@ -352,11 +367,105 @@ def test_queries_equal_sql(spark, name):
     assert sorted(repr([r[c] for c in columns]) for r in mine.collect()) == sorted(repr([r[i] for i in at]) for r in theirs.fetchall())
 
 
-def test_empty_documents(spark):
+def test_empty_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert simhash.simhash_components(docs).isEmpty() and packing.best_fit_pack(docs).isEmpty() and token_counts.token_counts(docs).isEmpty()
     assert quality.quality_rules(docs, docs).isEmpty() and simhash.drop_near_duplicates(docs).isEmpty()
     assert warc.warc_round_trip(docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"))).isEmpty()
+    assert license_scan.license_scan(docs, license_scan.license_table(spark)).isEmpty()
+    model, lexicon = langid.train(docs), toxicity.train(docs, docs.selectExpr("doc_id", "1 toxic"))
+    assert model.languages == [] and langid.language_id(docs, model).isEmpty() and langid.keep_languages(docs, model).isEmpty()
+    assert toxicity.toxicity(docs, lexicon).isEmpty() and toxicity.drop_toxic(docs, lexicon).isEmpty()
+    store = shards.shard_table(docs, str(tmp_path / "s"))
+    assert store.read().isEmpty() and store.read().columns == docs.columns
+
+
+HARD = [(1, None), (2, ""), (3, " \n\t"), (None, "you idiot"), (None, "you idiot"), (4, "1234 !!"), (5, "the " * 300_000), (6, "x" * 2_000_000), (7, "idiot " * 200_000), (7, "der die das und nicht ist ein")]
+
+
+def test_hard_texts_go_through_every_operator(spark, tmp_path):
+    """Nulls, empty and very long texts, null and repeated ids, equal rows, and columns named like an operator's own."""
+    docs = spark.createDataFrame([(i, t, "s", 1.0, "d") for i, t in HARD], "doc_id long, text string, score string, fp double, _digest string")
+    model = langid.Model(["de", "en"], np.log(np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 2)).astype(np.float32))
+    found = sorted(map(str, langid.language_id(docs, model).select("doc_id", "lang_pred").collect()))
+    assert len(found) == len(HARD) and sum("und" in x for x in found) == 4
+    kept = langid.keep_languages(docs, model, least_score=0.0)
+    assert kept.columns == docs.columns and kept.count() == len(HARD) - 4
+    lexicon = toxicity.Lexicon()
+    scores = [(r.doc_id, r.score, r.predicted) for r in toxicity.toxicity(docs, lexicon).collect()]
+    assert len(scores) == len(HARD) and sum(p for _, _, p in scores) == 2 and {s for i, s, _ in scores if i in (1, 2, 3, 4)} == {lexicon.score("")}
+    clean = toxicity.drop_toxic(docs, lexicon)
+    assert clean.columns == docs.columns and clean.count() == len(HARD) - 2
+    assert simhash.simhash_components(docs).count() == len(HARD)
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and left.count() == 7  # the three without words, and the two without an id, are one each
+    items = spark.createDataFrame([(1, "the"), (2, "der die das")], "item_id long, text string")
+    hits = {(r.doc_id, r.n_words): r.n_hit for r in decontaminate.contamination(docs, items).collect()}
+    assert hits[5, 300_000] == 300_000 and hits[7, 7] == 3 and hits[6, 1] == 0
+    assert decontaminate.drop_contaminated(docs, items).count() == len(HARD) - 2
+    assert packing.best_fit_pack(docs.where("doc_id is null or doc_id <> 6")).agg(F.sum("length")).first()[0] > 300_000
+    assert shards.shard_table(docs, str(tmp_path / "s")).read().exceptAll(docs).isEmpty()
+    r = {(x.doc_id, x.n_words): x for x in quality.quality_rules(docs, docs.limit(0)).collect()}
+    assert r[5, 300_000].n_repeat_words == 300_000 and r[5, 300_000].base_failed and r[1, 0].llr == 0
+    assert license_scan.license_scan(docs, license_scan.license_table(spark)).where("license_id is not null").isEmpty()
+    assert token_counts.token_counts(docs).agg(F.sum("n_bytes")).first()[0] == sum(len(t or "") for _, t in HARD)
+
+
+def test_languages_equal_brute_force():
+    """Shares by expectation-maximisation and the penalised choice of the set, against a plain version that tries every set."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    shares = rng.dirichlet(np.full(langid.BUCKETS, 0.05), 3) * 0.98 + 0.02 / langid.BUCKETS
+    model = langid.Model(["a", "b", "c"], np.log(shares).astype(np.float32))
+    table = np.exp(model.logs.astype(np.float64))
+
+    def fit(own, chosen):
+        w = np.full(len(chosen), 1 / len(chosen))
+        for _ in range(2_000):
+            p = table[list(chosen)][:, own] * w[:, None]
+            w = (p / p.sum(0)).mean(1)
+        return np.log((table[list(chosen)][:, own] * w[:, None]).sum(0)).sum(), w
+
+    for mix in ((300, 0, 0), (0, 40, 0), (200, 200, 0), (150, 0, 450), (200, 200, 200), (3, 0, 0)):
+        own = np.concatenate([rng.choice(langid.BUCKETS, n, p=shares[k]) for k, n in enumerate(mix)])
+        best = max((c for size in (1, 2, 3) for c in itertools.combinations(range(3), size)), key=lambda c: fit(own, c)[0] - langid.PENALTY * np.log(len(own) + 1) * (len(c) - 1))
+        chosen, got = model.mixture(own)
+        want = dict(zip(best, fit(own, best)[1], strict=True))
+        assert set(map(int, chosen)) == set(best), mix
+        assert all(abs(want[int(c)] - s) < 0.02 for c, s in zip(chosen, got, strict=True)) and list(got) == sorted(got, reverse=True)
+
+
+def test_lexicon_training_equals_brute_force(spark):
+    """Candidates, weights and the curve of a small table, counted plainly."""
+    rng = np.random.default_rng(6)
+    words_ = [f"{a}{b}" for a in ("karlo", "minta", "besto", "zuri") for b in ("ne", "ra", "vi", "ko", "lu")]
+    texts = [(i, " ".join([*rng.choice(words_, 30), *(["grublik"] * int(rng.integers(1, 3)) if i % 4 == 0 else []), f"own{i}x tail{i}y"])) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    lex = toxicity.train(docs, labels)
+    folded = [(toxicity.terms_of(toxicity.fold(t)), i % 4 == 0) for i, t in texts]
+    n1, n0 = 100, 300
+    bad, good = (Counter(t for terms, y in folded if y == k for t in terms) for k in (True, False))
+    want = {t: math.log((n + 0.5) / (n1 + 1) / ((good[t] + 0.5) / (n0 + 1))) - math.sqrt(1 / (n + 0.5) + 1 / (good[t] + 0.5)) for t, n in bad.items() if n >= 3}
+    learned = {t: w for t, w in lex.terms.items() if t.strip() not in toxicity.SEED_TERMS}
+    assert learned and all(abs(w - min(8.0, want[t])) < 1e-9 and want[t] >= math.log(toxicity.LEAST_LIFT) for t, w in learned.items())
+    assert all(t.strip().startswith("grub") for t in learned)
+    x = np.array([round(lex.feature(t), 2) for _, t in texts])
+    a, b = toxicity.logistic(x, np.array([float(i % 4 == 0) for i, _ in texts]), np.ones(len(x)))
+    assert abs(a - lex.intercept) < 1e-4 and abs(b - lex.slope) < 1e-4
+
+
+def test_runs_hold_every_link():
+    """Two fingerprints that differ in at most two bits are in one run of some path, however many fingerprints there are."""
+    rng = np.random.default_rng(7)
+    for count in (100, 30_000, 10**7):
+        first = simhash.dealing(count)[0]
+        assert (len(first) == 1) == (count <= simhash.RUN)
+        for _ in range(300):
+            x = int(rng.integers(0, 1 << 63))
+            y = x ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64)))
+            assert any(x & m == y & m for _, m in first)
 
 
 def test_pipeline(spark):

@@ -16,6 +16,8 @@ TARGET_BYTES = 128 << 20
 FAN_IN = 4
 #: Merges in one Spark job, and jobs at once.
 MERGES_IN_A_JOB, JOBS = 64, 4
+#: Shards that a segment of a manifest lists, and segments of less than half as many that may lie beside each other.
+SEGMENT, SMALL_SEGMENTS = 5_000, 16
 #: Seconds for which files that no manifest has named yet may belong to a writer that has not committed.
 GRACE = 24 * 3600
 
@@ -27,9 +29,9 @@ class Conflict(RuntimeError):
 class ShardStore:
     """A table of immutable Parquet shards in a shared folder.
 
-    Version n is the file manifests/n.json, which names its shards; the highest is current. It is written aside and renamed,
-    and a rename onto an existing version fails, so readers see whole versions and of two writers one commits. Shards
-    are never changed: a merge writes new ones and a new manifest. vacuum removes what superseded versions named and no kept
+    Version n is the file manifests/n.json, which names segments, immutable lists of shards; the highest is current. It is
+    written aside and renamed, and a rename onto an existing version fails, so readers see whole versions and of two writers
+    one commits. A commit writes segments for what is new and names again those that did not change. Shards are never changed: a merge writes new ones and a new manifest. vacuum removes what superseded versions named and no kept
     one does; files that no manifest has named may be a writer's that is about to commit, and go only after `grace` seconds.
     """
 
@@ -51,23 +53,51 @@ class ShardStore:
         """The current version; 0 before the first commit."""
         return max((int(n[:-5]) for n, _ in self._names("manifests") if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
-    def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs().open(self._path(f"manifests/{version}.json"))
+    def _json(self, name: str):
+        stream = self._fs().open(self._path(name))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _put(self, name: str, value) -> None:
+        stream = self._fs().create(self._path(name), False)
+        stream.write(bytearray(json.dumps(value).encode()))
+        stream.close()
+
+    def manifest(self, version: int | None = None) -> dict:
+        """A version's schema, its segments with their shards, and all shards."""
+        version = self.version() if version is None else version
+        if not version:
+            return {"version": 0, "schema": None, "segments": {}, "shards": []}
+        found = self._json(f"manifests/{version}.json")
+        with ThreadPoolExecutor(JOBS) as pool:
+            lists = list(pool.map(lambda n: self._json(f"segments/{n}"), found["segments"]))
+        return {"version": version, "schema": found["schema"], "segments": dict(zip(found["segments"], lists, strict=True)), "shards": [s for x in lists for s in x]}
+
+    def _segments(self, before: dict, shards: list[dict]) -> list[str]:
+        """Names of segments that list exactly shards: those of before that did not change, and new ones for the rest. Many
+        small segments are listed anew together."""
+        wanted = {s["file"]: s for s in shards}
+        kept = [n for n, own in before["segments"].items() if own and all(s["file"] in wanted for s in own)]
+        small = [n for n in kept if 2 * len(before["segments"][n]) < SEGMENT]
+        if len(small) > SMALL_SEGMENTS:
+            kept = [n for n in kept if n not in set(small)]
+        listed = {s["file"] for n in kept for s in before["segments"][n]}
+        rest, made = [s for f, s in wanted.items() if f not in listed], []
+        for i in range(0, len(rest), SEGMENT):
+            made.append(f"{uuid.uuid4().hex}.json")
+            self._put(f"segments/{made[-1]}", rest[i : i + SEGMENT])
+        return kept + made
+
     def commit(self, before: dict, shards: list[dict], schema: str | None) -> int:
         """Make shards the version after `before`; Conflict if there is one already."""
         version, fs = before["version"] + 1, self._fs()
         aside, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/{version}.json")
         fs.mkdirs(self._path("manifests"))
+        fs.mkdirs(self._path("segments"))
         stream = fs.create(aside, False)
-        stream.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": shards}).encode()))
+        stream.write(bytearray(json.dumps({"version": version, "schema": schema, "segments": self._segments(before, shards)}).encode()))
         stream.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), self.spark._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
@@ -155,6 +185,13 @@ class ShardStore:
                 name = f"shards/{folder}/{found.getPath().getName()}"
                 if name.endswith(".parquet") and name not in kept and name not in gone and found.getModificationTime() < before:
                     removed += bool(fs.delete(found.getPath(), False))
+        lists = lambda versions: {n for v in versions for n in self._json(f"manifests/{v}.json")["segments"]}
+        named = lists(v for v in there if v > now - keep)
+        for n in lists(old) - named:
+            fs.delete(self._path(f"segments/{n}"), False)
+        for found in fs.listStatus(self._path("segments")) if fs.exists(self._path("segments")) else ():
+            if found.getPath().getName() not in named and found.getModificationTime() < before:
+                fs.delete(found.getPath(), False)
         for v in old:
             fs.delete(self._path(f"manifests/{v}.json"), False)
         return removed
