@@ -303,3 +303,107 @@ def test_actions_and_ranges(spark):
     issues = spark.sql("select * from values ('daily', 'daily_ohlc_v1', date'2024-01-02'), ('daily', 'daily_range_v1', date'2024-01-03'), ('daily', 'daily_range_v1', date'2024-01-05'), ('daily', 'schema_v1', date'2024-01-04'), ('x', 'finite_float_v1', date'2024-01-04') t(dataset, rule, day)")
     assert sorted(r.action for r in repair.actions(issues).collect()) == ["MANUAL", "PATCH", "REFETCH", "REFETCH", "REFETCH"]
     assert sorted(json.dumps([str(x) for x in r]) for r in repair.refetch_ranges(issues).collect()) == ['["daily", "2024-01-02", "2024-01-03"]', '["daily", "2024-01-05", "2024-01-05"]']
+
+
+def market(spark):
+    """Three months of weekdays, three stocks, a dividend, an adjustment and a delisting."""
+    day = "explode(sequence(date'2024-01-01', date'2024-04-10')) d"
+    days = spark.range(1).selectExpr(day).where("weekday(d) < 5").withColumn("i", F.datediff("d", F.lit("2024-01-01").cast("date")))
+    codes = spark.sql("select * from values ('600000.SH', 0.01d), ('000001.SZ', 0.02d), ('600001.SH', 0.03d) t(ts_code, g)")
+    rows = days.crossJoin(codes).where("ts_code <> '600001.SH' or d < date'2024-03-15'").withColumn("p", F.round(10 * F.pow(1 + F.col("g") / 10, F.col("i")), 2))
+    frames = {
+        "trade_cal": spark.range(1).selectExpr(day).selectExpr("'SSE' exchange", "d cal_date", "weekday(d) < 5 is_open", "cast(null as date) pretrade_date"),
+        "daily": rows.selectExpr("ts_code", "d trade_date", "p open", "p + 0.1 high", "p - 0.1 low", "p close", "p pre_close", "10000d vol", "p * 1000 amount"),
+        "adj_factor": rows.selectExpr("ts_code", "d trade_date", "1d adj_factor"), "stk_limit": rows.selectExpr("ts_code", "d trade_date", "p * 1.1 up_limit", "p * 0.9 down_limit"),
+        "suspend_d": spark.sql("select '000001.SZ' ts_code, date'2024-02-01' trade_date, 'S' suspend_type, cast(null as string) suspend_timing"),
+        "stock_st": spark.sql("select '600000.SH' ts_code, date'2024-01-31' trade_date, 'ST' type, 'ST' type_name"),
+        "stock_basic": spark.sql("select * from values ('600000.SH', 'SSE', 'main', 'CNY', date'2000-01-01', null), ('000001.SZ', 'SZSE', 'main', 'CNY', date'2000-01-01', null), ('600001.SH', 'SSE', 'main', 'CNY', date'2000-01-01', date'2024-03-15') t(ts_code, exchange, market, curr_type, list_date, delist_date)"),
+        "dividend": spark.sql("select '600001.SH' ts_code, date'2023-12-31' end_date, date'2024-01-15' ann_date, '实施' div_proc, date'2024-02-10' imp_ann_date, date'2024-02-20' record_date, date'2024-02-21' ex_date, date'2024-02-22' pay_date, cast(null as date) div_listdate, 0.5d cash_div, 0.6d cash_div_tax, 0d stk_div, 0d stk_bo_rate, 0d stk_co_rate, date'2023-12-31' base_date, 1d base_share"),
+    }
+    return frames
+
+
+def test_a_run_from_a_catalog(spark, tmp_path, capsys):
+    from tidegauge.__main__ import main
+    from tidegauge.operators import runner, universe
+    from tidegauge.reader import Catalog, MarketReader
+    from tidegauge.sources.ingest import Progress
+
+    frames = market(spark)
+    reader = MarketReader(Catalog(frames, covered=(("suspend_d", "2024-01-01", "2024-04-30"),)), {"current": "daily"})
+    rule, config = runner.Momentum(5, 1, 0, True), bt.Config(cash=100_000.0, delisting="write_off")
+    targets = {(str(r.day), r.symbol) for r in runner.momentum_targets(reader, rule, "2024-01-10", "2024-03-31").collect()}
+    assert targets == {("2024-01-31", "600001.SH"), ("2024-02-29", "600001.SH"), ("2024-03-29", "000001.SZ")}
+    rows = runner.run_momentum(reader, "2024-01-10", "2024-04-05", rule, config).collect()
+    fills = [(r.symbol, str(r.day), r.side) for r in rows if r.kind == "fill"]
+    assert [f for f in fills if f[1] < "2024-03-15"] == [("600001.SH", "2024-02-01", "buy"), ("600001.SH", "2024-03-01", "buy")]
+    ends = {str(r.day): r.holdings for r in rows if r.kind == "equity"}
+    assert ends["2024-03-14"] == 1 and ends["2024-03-15"] == 0  # written off
+    paid = {str(r.day): r.receivable for r in rows if r.kind == "equity"}
+    held = next(r.quantity for r in rows if r.kind == "fill")
+    assert paid["2024-02-21"] == pytest.approx(0.5 * held) and paid["2024-02-22"] == 0
+    with pytest.raises(Exception, match="delisted"):
+        runner.run_momentum(reader, "2024-01-10", "2024-04-05", rule).collect()
+    blocked = [r.reason for r in runner.run_momentum(reader, "2024-01-10", "2024-02-05", runner.Momentum(5, 2), config).collect() if r.kind == "blocked"]
+    assert blocked == []  # nobody is listed for sixty sessions of this calendar
+    blocked = [(r.symbol, r.reason) for r in runner.run_momentum(reader, "2024-01-10", "2024-02-05", runner.Momentum(5, 2, 0), config).collect() if r.kind == "blocked"]
+    assert blocked == [("000001.SZ", "suspended")]
+    at = reader.at("2024-01-31 16:05:00")
+    assert {r.symbol for r in universe.stock_universe(at, exclude_st=True).collect()} == {"000001.SZ", "600001.SH"} and universe.stock_universe(at, 10, allowed=["600000.SH"]).count() == 1
+    with pytest.raises(DataError):
+        universe.stock_universe(at, 60)
+    meta = runner.run_metadata(reader, rule)
+    assert meta["strategy"]["parameters"]["top"] == 1 and meta["data"]["routes"]["current"] == "daily"
+
+    store = Store(spark, str(tmp_path / "store"), {n: TableConfig(n, df.schema, ("cal_date",) if n == "trade_cal" else ("ts_code",)) for n, df in frames.items()})
+    for n, df in frames.items():
+        store.append(n, df)
+    Progress(store).mark("suspend_d", date(2024, 1, 1), date(2024, 4, 30))
+    out = str(tmp_path / "out")
+    assert main(["backtest", "--store", store.root, "--start", "2024-01-10", "--end", "2024-04-05", "--output", out, "--lookback", "5", "--top", "1", "--minimum-sessions", "0", "--cash", "100000", "--delisting", "write_off"], spark) == 0
+    printed = json.loads(capsys.readouterr().out)["momentum"]
+    assert printed["fills"] == len(fills) and spark.read.parquet(f"{out}/equity.parquet").count() == printed["n"] and spark.read.parquet(f"{out}/order_updates.parquet").columns == runner.COLUMNS["order_updates"]
+    assert json.loads("\n".join(r.value for r in spark.read.text(f"{out}/config.json").collect()))["cash"] == 100_000
+    assert main(["smoke", "--store", store.root, "--as-of", "2024-03-01 17:05:00", "--output", str(tmp_path / "smoke")], spark) == 1
+    smoke = json.loads(capsys.readouterr().out)
+    assert smoke["bars"] == {"rows": 15, "sources": ["daily"]} and "error" in smoke["income"] and smoke["stocks"]["rows"] == 3
+    assert main(["export", "--store", store.root, "--table", "daily", "--output", str(tmp_path / "csv"), "--limit", "7"], spark) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 7
+    with pytest.raises(RequestError):
+        main(["export", "--store", str(tmp_path / "none"), "--table", "x", "--output", "y"], spark)
+
+
+def test_detect_repair_and_rollback_by_command(spark, tmp_path, capsys):
+    from tidegauge.__main__ import main
+    from tidegauge.operators import detect
+
+    rows = spark.sql("select * from values ('a', date'2024-01-02', 'x', 1d, double('NaN')), ('b', date'2024-01-02', 'y', 0d, 2d), ('c', date'2024-01-03', 'z', 1d, double('inf')) t(ts_code, trade_date, note, adj_factor, other)")
+    terms = spark.sql("select date'2023-12-31' end_date, 'a' ts_code, date'2024-01-02' ann_date, ' 实施 ' div_proc, cast(null as date) imp_ann_date, 0d stk_div, 0d stk_bo_rate, 0d stk_co_rate, 1d cash_div, 1d cash_div_tax, 1d base_share")
+    store = Store(spark, str(tmp_path / "s"), {"adj_factor": TableConfig("adj_factor", rows.schema, ("trade_date",), (), ("ts_code",)), "dividend": TableConfig("dividend", terms.schema, ("end_date",), (), ("ts_code", "ann_date"))})
+    store.append("adj_factor", rows)
+    store.append("dividend", terms)
+    report = str(tmp_path / "r")
+    assert main(["detect", "--store", store.root, "--through", "2024-01-05", "--report", report], spark) == 1
+    said = capsys.readouterr().out
+    assert "FAIL adj_factor adj_factor_positive_v1 1" in said and "FAIL adj_factor finite_float_v1 2" in said and "FAIL dividend dividend_value_v1 1" in said
+    assert main(["repair", "--store", store.root, "--report", report, "--apply"], spark) == 0
+    said = capsys.readouterr().out
+    assert "fetch adj_factor 2024-01-02 2024-01-02" in said
+    ids = dict(line.removeprefix("patched ").split(": ") for line in said.splitlines() if line.startswith("patched"))
+    assert {(r.ts_code, r.other) for r in store.read("adj_factor").collect()} == {("a", None), ("b", 2.0), ("c", None)} and store.read("dividend").first().div_proc == "实施"
+    with pytest.raises(DataError):
+        repair.apply_fixes(store, detect.read_report(spark, report).issues)  # rows are no longer as they were found
+    assert main(["rollback", "--store", store.root, "--repair-id", ids["dividend"]], spark) == 0 and store.read("dividend").first().div_proc == " 实施 "
+    issues = detect.read_report(spark, report).issues.where("rule = 'adj_factor_positive_v1'")
+    chosen = issues.select("issue_id", F.col("observed").alias("expected"), F.lit('{"adj_factor": 3}').alias("values"))
+    assert [d for d, _ in repair.apply_fixes(store, issues, chosen)] == ["adj_factor"] and store.read("adj_factor").where("ts_code = 'b'").first().adj_factor == 3
+
+
+def test_export_flattens(spark, tmp_path):
+    from tidegauge.operators import runner
+
+    runner.export_csv(spark.sql("select date'2024-01-02' d, named_struct('a', 1, 'b', array(1, 2)) q, array('x') l"), str(tmp_path / "e"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "e")).first()
+    assert got.asDict() == {"d": "2024-01-02", "q.a": "1", "q.b": "[1,2]", "l": '["x"]'}
+    with pytest.raises(RequestError):
+        runner.export_csv(spark.range(1), str(tmp_path / "f"), 0)

@@ -21,7 +21,11 @@ PATCH = ("finite_float_v1",)
 
 
 def actions(issues: DataFrame) -> DataFrame:
-    """issues with action: PATCH, MANUAL or REFETCH."""
+    """issues with action: PATCH, MANUAL or REFETCH. Issues that say themselves how they are fixed (rules.SCHEMA) are patched if
+    they suggest a patch, fetched again if they know the day, and otherwise left to a human."""
+    if {"fix", "day"} <= set(issues.columns):
+        by_hand = F.col("rule").isin(*MANUAL) | F.col("day").isNull()
+        return issues.withColumn("action", F.when(F.col("fix") == "AUTO_FIX", "PATCH").when(by_hand, "MANUAL").otherwise("REFETCH"))
     return issues.withColumn("action", F.when(F.col("rule").isin(*PATCH), "PATCH").when(F.col("rule").isin(*MANUAL), "MANUAL").otherwise("REFETCH"))
 
 
@@ -31,6 +35,57 @@ def refetch_ranges(issues: DataFrame) -> DataFrame:
     return merge_ranges(days, ["dataset"])
 
 
+def apply_fixes(store: Store, issues: DataFrame, decisions: DataFrame | None = None) -> list[tuple[str, str]]:
+    """Patch a store as issues suggest (rules.SCHEMA, issue_id): new values, nulls and deletions; (table, repair's id) of each table.
+
+    decisions: (issue_id, expected, values) that a human made, JSON objects, which go before the issue's own suggestion. A patch
+    holds only if the row still has what the issue observed, or the decision expects; else nothing of its table changes. Rules
+    of one row are applied together.
+    """
+    todo = actions(issues)
+    if decisions is None:
+        chosen = todo.where("action = 'PATCH'").select("dataset", "key", F.col("observed").alias("expected"), "suggested")
+    else:
+        own = decisions.select("issue_id", F.col("expected").alias("_e"), F.concat(F.lit('{"values":'), F.col("values"), F.lit("}")).alias("_s"))
+        marked = todo.join(own, "issue_id", "left").where("action = 'PATCH' or _s is not null")
+        chosen = marked.select("dataset", "key", F.coalesce("_e", "observed").alias("expected"), F.coalesce("_s", "suggested").alias("suggested"))
+    out = []
+    for name in sorted(r[0] for r in chosen.select("dataset").distinct().collect()):
+        table = store._table(name)
+        keys = list(dict.fromkeys([*table.partition_by, *table.primary_key]))
+        kind = lambda columns: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name in columns)  # noqa: E731, B023
+        texts = "map<string,string>"
+        parsed = chosen.where(F.col("dataset") == name).select(F.from_json("key", kind(keys)).alias("k"), F.from_json("expected", texts).alias("e"), F.from_json(F.get_json_object("suggested", "$.values"), texts).alias("v"), F.coalesce(F.get_json_object("suggested", "$.delete") == "true", F.lit(False)).alias("d"))
+        merged = parsed.groupBy("k").agg(F.bool_or("d").alias("_delete"), F.map_from_entries(F.flatten(F.collect_list(F.map_entries("v")))).alias("v"), F.expr("first(e)").alias("e"))
+        folders = [tuple(r) for r in merged.select(*[F.col(f"k.{c}") for c in table.partition_by]).distinct().collect()]
+        rows = store.read(name, folders)
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"k.{c}")) for c in keys))
+        plain = [c for c in table.schema.names if c not in keys]
+        text = lambda c: F.get_json_object(F.to_json(F.struct(F.col(c)), {"ignoreNullFields": "false"}), f"$.{c}")
+        holds = reduce(lambda a, b: a & b, (~F.map_contains_key("e", F.lit(c)) | text(c).eqNullSafe(F.element_at("e", c)) for c in plain), F.lit(True))
+        met = merged.join(rows.withColumn("_row", F.lit(True)), same, "left").groupBy("k").agg(F.count_if(F.coalesce(F.col("_row") & holds, F.lit(False))).alias("good"), F.count("*").alias("n"))
+        if not met.where("good <> 1 or n <> 1").isEmpty():
+            raise DataError(f"{name}: a patch does not meet exactly one row as it was found")
+        joined = rows.join(merged, same, "left").where(~F.coalesce("_delete", F.lit(False)))
+        value = lambda c: F.when(F.coalesce(F.map_contains_key("v", F.lit(c)), F.lit(False)), F.element_at("v", c).cast(table.schema[c].dataType)).otherwise(F.col(c)).alias(c)  # noqa: E731, B023
+        out.append((name, _swap(store, name, folders, rows, joined.select(*[value(c) for c in table.schema.names]))))
+    return out
+
+
+def _swap(store: Store, name: str, partitions: list[tuple], rows: DataFrame, fixed: DataFrame) -> str:
+    """Replace partitions by their fixed rows under a journal; the repair's id."""
+    table, repair, folders = store._table(name), uuid.uuid4().hex, store.select(name, partitions)
+    seen = {f: store.manifest(f) for f in folders}
+    rows.write.parquet(f"{store.root.rstrip('/')}/_repairs/{repair}/before")
+    made = store._write(table, fixed)
+    journal = {"id": repair, "status": "PREPARED", "table": name, "files": {f: made.get(f, []) for f in folders}}
+    _write_journal(store, journal)
+    for f in folders:
+        store._commit(f, seen[f], made.get(f, []))
+    _write_journal(store, journal | {"status": "COMMITTED"})
+    return repair
+
+
 def _file(store: Store, repair: str):
     return store._path(f"_repairs/{repair}/journal.json")
 
@@ -75,17 +130,7 @@ def patch(store: Store, name: str, partitions: list[tuple], patches: DataFrame,
         raise DataError(f"{name}: a patch does not meet exactly one row with the expected values")
     joined = rows.join(renamed, same, "left")
     fixed = joined.where(~F.coalesce("_delete", F.lit(False))).select(*[F.coalesce(f"_v_{c}", c).alias(c) if c in values else F.col(c) for c in table.schema.names])
-    repair = uuid.uuid4().hex
-    folders = store.select(name, partitions)
-    seen = {f: store.manifest(f) for f in folders}
-    rows.write.parquet(f"{store.root.rstrip('/')}/_repairs/{repair}/before")
-    made = store._write(table, fixed)
-    journal = {"id": repair, "status": "PREPARED", "table": name, "files": {f: made.get(f, []) for f in folders}}
-    _write_journal(store, journal)
-    for f in folders:
-        store._commit(f, seen[f], made.get(f, []))
-    _write_journal(store, journal | {"status": "COMMITTED"})
-    return repair
+    return _swap(store, name, partitions, rows, fixed)
 
 
 def rollback(store: Store, repair: str) -> None:
