@@ -315,3 +315,18 @@ def test_reports(spark, tmp_path):
     for wrong in (lambda: detect.detect(frames, "2024-01-02", datasets=["x"]), lambda: detect.detect(frames, "2024-01-02", "2024-01-03"), lambda: detect.read_report(spark, str(tmp_path / "report" / "part*"[:0]) + "/_SUCCESS")):
         with pytest.raises(RequestError):
             wrong()
+
+
+def test_a_sample_is_drawn_by_its_seed(spark):
+    from tidegauge.operators import crosscheck as xc
+
+    rows = spark.sql("select 'c' || id ts_code, date'2024-01-02' trade_date, 1d open, 1d high, 1d low, 1d close, 1d vol, 1d amount from range(30)")
+    one, two, other = (xc.sample_codes(rows, "2024-01-01", "2024-01-31", 5, seed) for seed in (1, 1, 2))
+    assert one == two == sorted(one) != other and len(xc.sample_codes(rows, "2024-01-01", "2024-01-31", 99)) == 30
+    for wrong, kind in ((lambda: xc.sample_codes(rows, "2024-01-01", "2024-01-31", 0), RequestError), (lambda: xc.sample_codes(rows, "2023-01-01", "2023-01-31", 5), UnavailableError), (lambda: xc.crosscheck({"daily": rows}, "2024-01-01", "2024-01-31"), UnavailableError)):
+        with pytest.raises(kind):
+            wrong()
+    theirs = rows.selectExpr("ts_code code", "trade_date", "'none' adjustment", "open", "high", "low", "if(ts_code = 'c3', 2d, close) close", "vol volume", "amount * 1000 amount")
+    factors = rows.selectExpr("ts_code", "trade_date", "1d adj_factor")
+    found = xc.crosscheck({"daily": rows, "adj_factor": factors, "downloaded_daily": theirs}, "2024-01-01", "2024-01-31", 30)
+    assert found.counts == {"daily_none": {"compared": 180, "differences": 1}} and not found.passed and found.differences.first().code == "c3"

@@ -92,18 +92,14 @@ class Pair:
     right: Column
     rtol: float = 1e-6
     atol: float = 1e-6
-    zero_null: bool = False
-    counts: Column | None = None
 
 
 def _verdict(p: Pair) -> Column:
-    """A struct of the pair, null if both are null or it does not count."""
+    """A struct of the pair, null if both are null."""
     left, right = p.left.cast("double"), p.right.cast("double")
-    if p.zero_null:
-        left, right = F.when(left.isNull() & (right == 0), 0.0).otherwise(left), F.when(right.isNull() & (left == 0), 0.0).otherwise(right)
     same = F.coalesce((left == right) & ~F.isnan(left) | is_close(left, right, p.rtol, p.atol), F.lit(False))
     made = F.struct(F.lit(p.field).alias("field"), left.alias("left_value"), right.alias("right_value"), F.when(same, "equal").otherwise("differs").alias("verdict"))
-    return F.when((p.left.isNotNull() | p.right.isNotNull()) & (F.lit(True) if p.counts is None else F.coalesce(p.counts, F.lit(False))), made)
+    return F.when(p.left.isNotNull() | p.right.isNotNull(), made)
 
 
 def _row(verdict: Column) -> Column:
@@ -193,22 +189,32 @@ def financial(vendor: Mapping[str, DataFrame], downloaded: DataFrame, start: str
             left = latest(rows, ["code", "day"], [*last_first("ann_date"), flag])
         else:
             left = latest(rows.where("report_type = '1'"), ["code", "day"], [*last_first("f_ann_date"), flag])
-        columns = list(dict.fromkeys(c for f in fields.values() for c in ([f] if isinstance(f, str) else f)))
-        both = _named(left, "t", columns).join(right.where(F.col("dataset") == name.lower()).select("code", "day", "m", F.lit(True).alias("d_")), ["code", "day"], "full_outer")
-        pairs = []
-        for theirs, ours in fields.items():
-            choices = [F.col(f"t_{c}").cast("double") for c in ([ours] if isinstance(ours, str) else ours)]
-            value = F.element_at("m", theirs).try_cast("double")
-            distance = [F.abs(c - value) for c in choices]
-            best = F.least(*distance) if len(choices) > 1 else distance[0]
-            near = F.coalesce(*[F.when(x == best, c) for x, c in zip(distance, choices, strict=True)])
-            left_value = F.when(value.isNotNull() & near.isNotNull(), near).otherwise(choices[0])
-            pairs.append(Pair(ours if isinstance(ours, str) else ours[0], left_value, value, 1e-6, 0.005001 if theirs in PER_SHARE else 1e-4, True, F.map_contains_key("m", F.lit(theirs))))
-        made = _compared(f"financial_{name}", both, _missing(_has("t"), _has("d")), pairs)
+        made = _reports(name, fields, left, right.where(F.col("dataset") == name.lower()))
         out = made if out is None else out.unionByName(made)
     return out
 
 
+def _reports(name: str, fields: Mapping[str, str | tuple[str, ...]], left: DataFrame, right: DataFrame) -> DataFrame:
+    """One table's comparison. Fields are rows, joined with the table of pairs, so the plan does not grow with their number."""
+    choices = {theirs: [ours] if isinstance(ours, str) else list(ours) for theirs, ours in fields.items()}
+    columns = list(dict.fromkeys(c for own in choices.values() for c in own))
+    pairs = left.sparkSession.createDataFrame([(theirs, own, 0.005001 if theirs in PER_SHARE else 1e-4) for theirs, own in choices.items()], "theirs string, ours array<string>, atol double")
+    facts = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))
+    both = left.select("code", "day", facts.alias("facts")).join(right.select("code", "day", "m"), ["code", "day"], "full_outer")
+    lost = both.where("facts is null or m is null").select("code", "day", _row(F.when(F.col("facts").isNull(), "left_missing").otherwise("right_missing")).alias("x"))
+    each = both.where("facts is not null and m is not null").select("code", "day", "facts", F.explode("m").alias("theirs", "text")).join(F.broadcast(pairs), "theirs")
+    value = F.col("text").try_cast("double")
+    own = each.withColumns({"r": value, "own": F.transform("ours", lambda c: F.element_at("facts", c))})
+    known = F.filter("own", lambda v: v.isNotNull())
+    near = F.array_min(F.transform(known, lambda v, i: F.struct(F.abs(v - F.col("r")).alias("gap"), i.alias("i"), v.alias("v"))))["v"]
+    chosen = own.withColumn("l", F.when(F.col("r").isNotNull() & (F.size(known) > 0), near).otherwise(F.get("own", F.lit(0))))
+    zero = chosen.withColumns({"l": F.when(F.col("l").isNull() & (F.col("r") == 0), 0.0).otherwise(F.col("l")), "r": F.when(F.col("r").isNull() & (F.col("l") == 0), 0.0).otherwise(F.col("r"))})
+    close = F.abs(F.col("l") - F.col("r")) <= F.greatest(1e-6 * F.greatest(F.abs("l"), F.abs("r")), F.col("atol"))
+    same = F.coalesce((F.col("l") == F.col("r")) | close, F.lit(False))
+    found = zero.where("l is not null or r is not null").select("code", "day", F.struct(F.get("ours", F.lit(0)).alias("field"), F.col("l").alias("left_value"), F.col("r").alias("right_value"), F.when(same, "equal").otherwise("differs").alias("verdict")).alias("x"))
+    return found.unionByName(lost).select(F.lit(f"financial_{name}").alias("check"), "code", "day", "x.*")
+
+
 def dividends(vendor: DataFrame, events: DataFrame, start: str, end: str, codes: list[str] | None = None, done: str = "实施") -> DataFrame:
     """Dividends that were carried out, the last version of each plan, summed by day, against downloaded events."""
     plans = vendor.where(F.col("div_proc") == done)
