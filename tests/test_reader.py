@@ -131,7 +131,7 @@ def test_renamed_codes_are_one_security(spark, frames):
     reader = MarketReader(Catalog({**frames, "daily": daily}), history=history)
     for asked in ([A], [OLD]):
         bars = reader.at("2024-01-04 16:05:00").market.bars(asked, "1d", count=9)
-        assert [(r.symbol, r.open) for r in bars.sorted.collect()] == [(A, 10), (A, 11), (A, 12)]
+        assert [(r.symbol, r.open, r.sid) for r in bars.sorted.collect()] == [(A, 10, 1), (A, 11, 1), (A, 12, 1)] and bars.df.columns[-1] == "sid"
     before = reader.at("2024-01-02 16:05:00").market.bars([A], "1d", count=9).sorted.collect()
     assert [(r.symbol, r.open) for r in before] == [(OLD, 10)]
     both = MarketReader(Catalog({**frames, "daily": frames["daily"].union(frames["daily"].where(f"ts_code = '{A}'").withColumn("ts_code", F.lit(OLD)).withColumn("open", F.lit(1.0)))}), history=history)
@@ -149,6 +149,10 @@ def test_code_histories(spark):
     history = CodeHistory.of(spark, [(1, OLD, "2000-01-01", "2024-01-03"), (1, A, "2024-01-03", None)])
     assert history.sid(OLD) == history.sid(A) == 1 and history.aliases(1) == (OLD, A) and history.canonical(A) == OLD
     assert history.code_at(1, date(2024, 1, 2)) == OLD and history.symbols_at([OLD, A], date(2024, 1, 3)) == (A,) and history.canonical_symbols([A, OLD]) == (OLD,)
+    rows = spark.sql(f"select * from values ('{OLD}', date'2024-01-02'), ('{OLD}', date'2024-01-03'), ('{A}', date'2024-01-02'), (null, date'2024-01-02') t(c, d)")
+    assert sorted(map(str, history.relabel_by_day(rows, "c", "d").select("c").toPandas().c)) == sorted(map(str, [OLD, A, OLD, None]))
+    with pytest.raises(Exception, match="no code of the day"):
+        history.relabel_by_day(rows.selectExpr("c", "date'1990-01-01' d"), "c", "d").collect()
     for call in (lambda: history.sid("x"), lambda: history.code_at(1, date(1999, 1, 1)), lambda: history.aliases(2)):
         with pytest.raises(MappingError):
             call()

@@ -113,10 +113,20 @@ class CodeHistory:
                 raise MappingError(f"codes of one security collide on {', '.join(keys)}")
         return named(df)
 
-    def relabel(self, df: DataFrame, code: str, day: str) -> DataFrame:
-        """df under the codes that are valid on a day. A row whose security has none, or no security, fails the job."""
+    def relabel(self, df: DataFrame, code: str, day: str, sid: str | None = None) -> DataFrame:
+        """df under the codes that are valid on a day, and the security's number in a column `sid` if one is named. A row whose
+        security has no code then, or that has no security, fails the job."""
         d = F.lit(day).cast("date")
         now = self.df.where((F.col("valid_from") <= d) & (F.col("valid_to").isNull() | (d < F.col("valid_to")))).select("sid", F.col("code").alias("_now"))
-        names = self.df.select("sid", F.col("code").alias(code)).distinct().join(now, "sid").select(code, "_now")
+        names = self.df.select(F.col("sid"), F.col("code").alias(code)).distinct().join(now, "sid").select(code, "_now", F.col("sid").alias("_sid"))
         lost = F.raise_error(F.concat(F.lit("no code on " + day + " for "), F.col(code)))
-        return df.join(F.broadcast(names), code, "left").withColumn(code, F.coalesce(F.col("_now"), lost.cast("string"))).select(df.columns)
+        named = df.join(F.broadcast(names), code, "left").withColumn(code, F.coalesce(F.col("_now"), lost.cast("string")))
+        return named.select(*df.columns, *([F.col("_sid").alias(sid)] if sid else []))
+
+    def relabel_by_day(self, df: DataFrame, code: str, day: str) -> DataFrame:
+        """df under the code that is valid on each row's own day; rows without a code (null) stay, others without one fail."""
+        names = self.df.select("sid", F.col("code").alias(code)).distinct()
+        spans = names.join(self.df.select("sid", F.col("code").alias("_now"), "valid_from", "valid_to"), "sid").drop("sid")
+        own = df.join(F.broadcast(spans.withColumnRenamed(code, "_code")), (F.col(code) == F.col("_code")) & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) < F.col("valid_to"))), "left")
+        lost = F.raise_error(F.concat(F.lit("no code of the day for "), F.col(code)))
+        return own.withColumn(code, F.when(F.col(code).isNotNull(), F.coalesce(F.col("_now"), lost.cast("string")))).select(df.columns)

@@ -117,7 +117,9 @@ def run_momentum(reader: MarketReader, start: str, end: str, rule: Momentum | No
     spark = targets.sparkSession
     runs = spark.createDataFrame([("momentum", inside[0], inside[-1])], "run string, first date, last date")
     facts = actions.effective(reader.implemented_dividends()) if "dividend" in reader.catalog.frames else None
-    return bt.simulate(runs, market_bars(reader, start, end), inside, targets=targets, config=config, actions=facts, lives=reader.security_lifecycles(), calendar=sessions, own_symbols=True)
+    rows = bt.simulate(runs, market_bars(reader, start, end), inside, targets=targets, config=config, actions=facts, lives=reader.security_lifecycles(), calendar=sessions, own_symbols=True)
+    # accounts hold securities under the code that stands for them; rows show that of their day
+    return rows if reader.history is None else reader.history.relabel_by_day(rows, "symbol", "day")
 
 
 def run_metadata(reader: MarketReader, strategy: object) -> dict:

@@ -167,8 +167,8 @@ class Adapter(ABC):
 @dataclass(frozen=True)
 class MarketReader:
     """Views over a catalog. routes sends a logical dataset to another raw table of the same columns, or to one of the
-    adapters. With a history, symbols are the codes valid at the view's day, and rows under other codes are found; rows of
-    adapters have no known identities, so the two exclude each other."""
+    adapters. With a history, symbols are the codes valid at the view's day, rows under other codes are found, and results have
+    the security's number as their last column, sid; rows of adapters have no known identities, so the two exclude each other."""
 
     catalog: Catalog
     routes: Mapping[str, str] = field(default_factory=dict)
@@ -299,7 +299,7 @@ class View:
                 raise RequestError(f"fields are some of {payload}, each once")
         shown = df if fields is None else df.select(*keys, *fields)
         if self.reader.history is not None and "symbol" in keys:
-            shown = self.reader.history.relabel(shown, "symbol", self.day)
+            shown = self.reader.history.relabel(shown, "symbol", self.day, "sid")
         names = set(shown.columns)
         known = [F.col(name).asc_nulls_last() if up else F.col(name).desc_nulls_last() for name, up in order if name in names]
         return Result(shown, self.as_of, tuple(self.reader.routes.get(r, r) for r in routes), self.reader.cap, tuple(known))
