@@ -38,6 +38,8 @@ MOST_TOXIC, MOST_CLEAN = 4_000, 16_000
 #: A term is a word or a beginning of words of at least this many letters; it counts if toxic texts have it this many times as
 #: often, a standard error below the estimate.
 LEAST_LETTERS, LONGEST_STEM, LEAST_LIFT = 4, 8, 6.0
+#: Words with accents that a worker remembers.
+MOST_WORDS = 100_000
 #: Terms that a task counts before it hands its counts on.
 MOST_COUNTED = 200_000
 #: A text's weight is divided by 1 and its words over this many.
@@ -46,6 +48,7 @@ LENGTH = 1_000
 DEMAND = 3
 
 _WIDE = dict(zip(range(0xFF01, 0xFF5F), range(0x21, 0x7F), strict=True)) | {0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None, 0xAD: None}
+_WIDE_CHARS, _ALIKE = frozenset(map(chr, _WIDE)), frozenset(map(chr, HOMOGLYPHS))
 _WORD = re.compile(r"[@$]*[^\W_]+(?:[@$!]+[^\W_]+)*[@$]*")
 _LETTER = re.compile(r"[^\W\d_]")
 _SWAP = re.compile(r"[0134578@$!]")
@@ -55,10 +58,16 @@ def fold(text: str) -> str:
     """Lower case, look-alikes and styled or accented letters as Latin letters, and digits and marks in words with letters as
     the letters they stand for, at a word's ends too; words between single spaces, with a space at both ends."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_WIDE)).lower().translate(HOMOGLYPHS)
+        if not _WIDE_CHARS.isdisjoint(text):
+            text = text.translate(_WIDE)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        text = text.lower()
+        if not _ALIKE.isdisjoint(text):
+            text = text.translate(HOMOGLYPHS)
     out = []
     for w in _WORD.findall(text.lower()):
-        if _SWAP.search(w):
+        if not w.isalpha() and _SWAP.search(w):
             w = _SWAP.sub(lambda m: DIGITS[m[0]], w) if _LETTER.search(w) else w.strip("@$")
         out.append(w)
     return f" {' '.join(out)} "
@@ -91,24 +100,19 @@ class Lexicon:
     slope: float = 3.0
 
     def __post_init__(self):
-        self._machine = self._seeds = None
+        self._machine, self._bare = None, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_machine": None, "_seeds": None}
+        return self.__dict__ | {"_machine": None, "_bare": {}}
 
-    @property
-    def seeds(self):
-        """The built-in terms alone, which are looked for in unaccented text too; learned ones keep the accents they came with."""
-        if self._seeds is None:
-            import ahocorasick
-
-            self._seeds = ahocorasick.Automaton()
-            for t in SEED_TERMS:
-                if f" {t}" in self.terms:
-                    self._seeds.add_word(f" {t}", (len(t) + 1, self.terms[f" {t}"]))
-            if len(self._seeds):
-                self._seeds.make_automaton()
-        return self._seeds
+    def bare(self, word: str) -> float:
+        """The weight of the built-in terms that a word with accents begins with once they are off; learned terms keep theirs."""
+        if word not in self._bare:
+            if len(self._bare) >= MOST_WORDS:
+                self._bare.clear()
+            plain = unaccented(word)
+            self._bare[word] = max((self.terms[f" {t}"] for t in SEED_TERMS if plain.startswith(t) and f" {t}" in self.terms), default=0.0)
+        return self._bare[word]
 
     @property
     def machine(self):
@@ -140,10 +144,13 @@ class Lexicon:
                 spans.append((start, end))
             else:
                 best[start] = max(best.get(start, 0.0), w)
-        plain = unaccented(folded)
-        if plain is not folded and len(self.seeds):
-            for end, (n, w) in self.seeds.iter(plain):
-                best[end - n + 1] = max(best.get(end - n + 1, 0.0), w)
+        if not folded.isascii():
+            for word in set(folded.split()):
+                if not word.isascii() and (w := self.bare(word)):
+                    at = folded.find(f" {word} ")
+                    while at >= 0:
+                        best[at] = max(best.get(at, 0.0), w)
+                        at = folded.find(f" {word} ", at + 1)
         for start, end in sorted(spans):
             if ends and start <= ends[-1]:
                 ends[-1] = max(ends[-1], end)
