@@ -89,6 +89,19 @@ def test_token_counts_equal_the_library(spark, docs, sample):
         assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
 
 
+@pytest.mark.parametrize("most,longest", [(200_000, 48), (40, 5), (0, 48), (7, 0)])
+def test_ids_equal_the_library(sample, monkeypatch, most, longest):
+    monkeypatch.setattr(chunk_cache, "MOST_CHUNKS", most)
+    monkeypatch.setattr(chunk_cache, "LONGEST_CHUNK", longest)
+    ids, library = chunk_cache.Ids("word_bpe_49k.json"), chunk_cache.Library("word_bpe_49k.json").tokenizer
+    texts = [r.text or "" for r in sample.limit(60).collect()] + [t or "" for _, t in TEXTS]
+    for k in (1, 7, 60):  # calls of several sizes, each after what the ones before left
+        for i in range(0, len(texts), k):
+            own = texts[i : i + k]
+            assert [x.tolist() for x in ids.encode(own)] == [library.encode(t, add_special_tokens=False).ids for t in own]
+    assert len(ids.known) <= most and list(ids.known.values()) == list(range(len(ids.known)))
+
+
 def print_of(text):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = words(w)

@@ -6,11 +6,12 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 
 #: At most this many chunks are remembered by a worker; later ones are encoded each time.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 200_000
 #: Longer chunks are not remembered.
 LONGEST_CHUNK = 48
 
@@ -136,50 +137,66 @@ class Lengths:
         return [sum([known[x] if x in known else fresh[x] for x in c]) for c in cut]
 
 
+class _Places(dict):
+    """A number for each chunk, in the order in which they are first asked for."""
+
+    def __missing__(self, chunk: str) -> int:
+        k = self[chunk] = len(self)
+        return k
+
+
 class Ids:
     """The ids of texts under a tokenizer that drops white space, lower-cases and marks word ends."""
 
     def __init__(self, name: str):
-        self.library, self.known = Library(name), {}
+        self.library, self.known = Library(name), _Places()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self._top = 0
 
-    def _add(self, index: dict[str, int], chunks: list[str], rows: list[list[int]]) -> None:
+    def _add(self, first: int, rows: list[list[int]], where: np.ndarray) -> None:
+        """Note the ids of the chunks numbered first + where."""
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        first, total = self._top, int(lengths.sum())
+        total = int(lengths.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(rows) > len(self.at):
+        while first + int(where.max(initial=-1)) >= len(self.at):
             self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
         self.flat[self.used : self.used + total] = np.fromiter((x for r in rows for x in r), np.uint32, total)
-        self.at[first : first + len(rows)] = self.used + np.cumsum(lengths) - lengths
-        self.n[first : first + len(rows)] = lengths
-        index.update(zip(chunks, range(first, first + len(rows)), strict=True))
+        self.at[first + where] = self.used + np.cumsum(lengths) - lengths
+        self.n[first + where] = lengths
         self.used += total
-        self._top = first + len(rows)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text. What is not remembered is held for this call only."""
-        cut = [bare_chunks(t) for t in texts]
-        missing = set().union(*cut) - self.known.keys()
-        room = max(0, MOST_CHUNKS - len(self.known))
-        short = [c for c in missing if len(c) <= LONGEST_CHUNK]
-        keep, pass_by = short[:room], short[room:] + [c for c in missing if len(c) > LONGEST_CHUNK]
-        self._top = len(self.known)
-        if keep:
-            self._add(self.known, keep, self.library.ids(keep))
-        mark, held = self.used, {}
-        if pass_by:
-            self._add(held, pass_by, self.library.ids(pass_by))
-        for chunks in cut:
-            known = self.known
-            where = np.fromiter([known[c] if c in known else held[c] for c in chunks] if held else map(known.__getitem__, chunks), np.int64, len(chunks))
+        """The ids of each text. Chunks are looked up once for each time they occur; those that are new are encoded together.
+        What is not remembered is held for this call only."""
+        known, places = self.known, []
+        top = len(known)
+        for t in texts:
+            chunks = bare_chunks(t)
+            places.append(np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks)))
+        fresh = list(islice(reversed(known), len(known) - top))[::-1]
+        room = max(0, MOST_CHUNKS - top)
+        short = [k for k, c in enumerate(fresh) if len(c) <= LONGEST_CHUNK]
+        keep = np.array(short[:room], np.int64)
+        rest = np.setdiff1d(np.arange(len(fresh)), keep)
+        # kept ones first, so that the ids of others can be dropped from the end
+        order = np.concatenate([keep, rest])
+        if len(fresh):
+            rows = self.library.ids([fresh[k] for k in order.tolist()])
+            self._add(top, rows[: len(keep)] or [], keep)
+            mark = self.used
+            self._add(top, rows[len(keep) :], rest)
+        for where in places:
             n = self.n[where]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
             yield self.flat[np.repeat(self.at[where] - ends + n, n) + np.arange(total)]
-        self.used = mark
+        if len(rest):
+            self.used = mark
+            for c in fresh:
+                del known[c]
+            self.at[top : top + len(keep)], self.n[top : top + len(keep)] = self.at[top + keep], self.n[top + keep]
+            known.update((fresh[k], top + i) for i, k in enumerate(keep.tolist()))
 
 
 _MADE: dict = {}

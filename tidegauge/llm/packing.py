@@ -20,7 +20,7 @@ CAPACITY = 4096
 PARTITION_TOKENS, PARTITION_ROWS = 8_000_000, 1_000_000
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = 1, capacity: int = CAPACITY, run_bytes: int = 1 << 22) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = 1, capacity: int = CAPACITY, run_bytes: int = 1 << 20) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every row's ids and the end id, cut only beyond capacity."""
 
     def run(batches):
