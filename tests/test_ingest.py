@@ -41,7 +41,7 @@ class Vendor:
 
 def store_of(spark, path):
     kinds = {
-        "trade_cal": ("exchange string, cal_date date, is_open tinyint, pretrade_date date", "cal_date", ("exchange",)), "daily": ("ts_code string, trade_date date, close double, vol double", "trade_date", ("ts_code",)),
+        "trade_cal": ("exchange string, cal_date date, is_open tinyint, pretrade_date date", "exchange", ("cal_date",)), "daily": ("ts_code string, trade_date date, close double, vol double", "trade_date", ("ts_code",)),
         "dividend": ("ts_code string, end_date date, ann_date date, imp_ann_date date, div_proc string", "end_date", ("ts_code", "ann_date", "div_proc", "imp_ann_date")), "stock_basic": ("ts_code string, list_date date", "list_date", ("ts_code",)),
     }
     return Store(spark, str(path), {n: TableConfig(n, StructType.fromDDL(k), (p,), key, key) for n, (k, p, key) in kinds.items()})

@@ -330,3 +330,16 @@ def test_a_sample_is_drawn_by_its_seed(spark):
     factors = rows.selectExpr("ts_code", "trade_date", "1d adj_factor")
     found = xc.crosscheck({"daily": rows, "adj_factor": factors, "downloaded_daily": theirs}, "2024-01-01", "2024-01-31", 30)
     assert found.counts == {"daily_none": {"compared": 180, "differences": 1}} and not found.passed and found.differences.first().code == "c3"
+
+
+def test_replay_makes_batches_one_table_and_goes_on(spark, tmp_path):
+    from tidegauge.streaming.quotes import replay
+
+    rows = lambda k: spark.createDataFrame([(k % 3, k), (9, k)], "s int, t int").coalesce(1)
+    run = lambda: {r.s: r.t for r in replay(spark, str(tmp_path / "in"), str(tmp_path / "c"), str(tmp_path / "out"), ["s"], ["t"], every=3).collect()}
+    for k in range(5):
+        rows(k).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == {0: 3, 1: 4, 2: 2, 9: 4} and os.path.exists(tmp_path / "out" / "upto=2") and not os.path.exists(tmp_path / "out" / "upto=4")
+    for k in (5, 6):
+        rows(k).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == run() == {0: 6, 1: 4, 2: 5, 9: 6} and os.path.exists(tmp_path / "out" / "upto=5")
