@@ -15,7 +15,7 @@ from tidegauge.errors import DataError, RequestError, ResultTooLargeError, Unava
 from tidegauge.functions import calendar as cal
 from tidegauge.functions import values
 from tidegauge.operators import bars, checks, detect, rules, tables, trading, versions
-from tidegauge.plans import crosscheck, quality, runs, views  # noqa: F401  (they register their queries)
+from tidegauge.plans import crosscheck, quality, runs, sources, views  # noqa: F401  (they register their queries)
 from tidegauge.plans.market import ORACLE_SQL, QUERIES
 from tidegauge.reader import Catalog
 from tidegauge.sources.store import Buffered, Conflict, Store, TableConfig
