@@ -181,38 +181,42 @@ def financial(vendor: Mapping[str, DataFrame], downloaded: DataFrame, start: str
     nearest to the downloaded value counts, and the first where that has none."""
     right = _within(downloaded, "report_date", start, end, "code", codes).withColumn("dataset", F.lower("dataset"))
     right = latest(right, ["code", "dataset", "day"], last_first("disclosure_date")).withColumn("m", F.from_json("data_json", "map<string,string>"))
-    out = None
+    flag, lefts, pairs = F.col("update_flag").try_cast("int").desc_nulls_last(), [], []
     for name, (table, fields) in REPORTS.items():
         rows = _within(vendor[table], "end_date", start, end, "ts_code", codes)
-        flag = F.col("update_flag").try_cast("int").desc_nulls_last()
         if table == "fina_indicator":
-            left = latest(rows, ["code", "day"], [*last_first("ann_date"), flag])
+            rows = latest(rows, ["code", "day"], [*last_first("ann_date"), flag])
         else:
-            left = latest(rows.where("report_type = '1'"), ["code", "day"], [*last_first("f_ann_date"), flag])
-        made = _reports(name, fields, left, right.where(F.col("dataset") == name.lower()))
-        out = made if out is None else out.unionByName(made)
-    return out
-
-
-def _reports(name: str, fields: Mapping[str, str | tuple[str, ...]], left: DataFrame, right: DataFrame) -> DataFrame:
-    """One table's comparison. Fields are rows, joined with the table of pairs, so the plan does not grow with their number."""
-    choices = {theirs: [ours] if isinstance(ours, str) else list(ours) for theirs, ours in fields.items()}
-    columns = list(dict.fromkeys(c for own in choices.values() for c in own))
-    pairs = left.sparkSession.createDataFrame([(theirs, own, 0.005001 if theirs in PER_SHARE else 1e-4) for theirs, own in choices.items()], "theirs string, ours array<string>, atol double")
-    facts = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))
-    both = left.select("code", "day", facts.alias("facts")).join(right.select("code", "day", "m"), ["code", "day"], "full_outer")
-    lost = both.where("facts is null or m is null").select("code", "day", _row(F.when(F.col("facts").isNull(), "left_missing").otherwise("right_missing")).alias("x"))
-    each = both.where("facts is not null and m is not null").select("code", "day", "facts", F.explode("m").alias("theirs", "text")).join(F.broadcast(pairs), "theirs")
-    value = F.col("text").try_cast("double")
-    own = each.withColumns({"r": value, "own": F.transform("ours", lambda c: F.element_at("facts", c))})
+            rows = latest(rows.where("report_type = '1'"), ["code", "day"], [*last_first("f_ann_date"), flag])
+        choices = {theirs: [ours] if isinstance(ours, str) else list(ours) for theirs, ours in fields.items()}
+        columns = list(dict.fromkeys(c for own in choices.values() for c in own))
+        facts = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))
+        lefts.append(rows.select("code", "day", F.lit(name.lower()).alias("dataset"), facts.alias("facts")))
+        pairs += [(name.lower(), f"financial_{name}", theirs, own, 0.005001 if theirs in PER_SHARE else 1e-4) for theirs, own in choices.items()]
+    left = lefts[0]
+    for more in lefts[1:]:
+        left = left.unionByName(more)
+    spark = left.sparkSession
+    names = F.create_map(*[x for n in REPORTS for x in (F.lit(n.lower()), F.lit(f"financial_{n}"))])
+    known = right.where(F.col("dataset").isin([n.lower() for n in REPORTS])).select("code", "day", "dataset", "m")
+    return _reports(left.join(known, ["code", "day", "dataset"], "full_outer"), spark.createDataFrame(pairs, "dataset string, check string, theirs string, ours array<string>, atol double"), names)
+
+
+def _reports(both: DataFrame, pairs: DataFrame, names: Column) -> DataFrame:
+    """Reports of both sides (facts and m, maps) compared. Fields are rows, joined with the table of pairs, so the plan does not
+    grow with their number."""
+    state = _row(F.when(F.col("facts").isNull(), "left_missing").otherwise("right_missing"))
+    lost = both.where("facts is null or m is null").select(F.element_at(names, F.col("dataset")).alias("check"), "code", "day", state.alias("x"))
+    each = both.where("facts is not null and m is not null").select("code", "day", "dataset", "facts", F.explode("m").alias("theirs", "text")).join(F.broadcast(pairs), ["dataset", "theirs"])
+    own = each.withColumns({"r": F.col("text").try_cast("double"), "own": F.transform("ours", lambda c: F.element_at("facts", c))})
     known = F.filter("own", lambda v: v.isNotNull())
     near = F.array_min(F.transform(known, lambda v, i: F.struct(F.abs(v - F.col("r")).alias("gap"), i.alias("i"), v.alias("v"))))["v"]
     chosen = own.withColumn("l", F.when(F.col("r").isNotNull() & (F.size(known) > 0), near).otherwise(F.get("own", F.lit(0))))
     zero = chosen.withColumns({"l": F.when(F.col("l").isNull() & (F.col("r") == 0), 0.0).otherwise(F.col("l")), "r": F.when(F.col("r").isNull() & (F.col("l") == 0), 0.0).otherwise(F.col("r"))})
     close = F.abs(F.col("l") - F.col("r")) <= F.greatest(1e-6 * F.greatest(F.abs("l"), F.abs("r")), F.col("atol"))
     same = F.coalesce((F.col("l") == F.col("r")) | close, F.lit(False))
-    found = zero.where("l is not null or r is not null").select("code", "day", F.struct(F.get("ours", F.lit(0)).alias("field"), F.col("l").alias("left_value"), F.col("r").alias("right_value"), F.when(same, "equal").otherwise("differs").alias("verdict")).alias("x"))
-    return found.unionByName(lost).select(F.lit(f"financial_{name}").alias("check"), "code", "day", "x.*")
+    found = zero.where("l is not null or r is not null").select("check", "code", "day", F.struct(F.get("ours", F.lit(0)).alias("field"), F.col("l").alias("left_value"), F.col("r").alias("right_value"), F.when(same, "equal").otherwise("differs").alias("verdict")).alias("x"))
+    return found.unionByName(lost).select("check", "code", "day", "x.*")
 
 
 def dividends(vendor: DataFrame, events: DataFrame, start: str, end: str, codes: list[str] | None = None, done: str = "实施") -> DataFrame:
