@@ -47,6 +47,17 @@ def small_side(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
+def lean(batches, rows: int = 1_000):
+    """Arrow batches in slices of at most `rows` rows; after each batch, memory that Arrow holds for later ones is given back."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row. (A projection may be inlined into a lambda and run once per element.)"""
     return F.transform(F.array(value), body)[0]

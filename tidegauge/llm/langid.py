@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.common import lean
+
 #: Letter trigrams fall into this many buckets.
 BUCKETS = 1 << 15
 #: Characters worked on at once; a longer text is one slice of its own.
@@ -147,7 +149,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bucke
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in lean(batches):
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for run in _slices(texts):
                 found, owner = trigrams([texts[i] for i in run], buckets)
@@ -185,7 +187,7 @@ def language_id(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             found = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string())))], ["_id", "lang_pred", "score", "lang_mix"])
 
@@ -202,7 +204,7 @@ def keep_languages(docs: DataFrame, model: Model, languages: list[str] | None =
     wanted, at = set(languages if languages is not None else model.languages), docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             found = model.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang in wanted and score >= least_score for lang, score, _ in found], pa.bool_()))
 

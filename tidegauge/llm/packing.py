@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.chunk_cache import Ids, by_bytes, worker
-from tidegauge.llm.common import cut
+from tidegauge.llm.common import cut, lean
 
 LOG = logging.getLogger(__name__)
 #: Tokens of a sequence.
@@ -25,7 +25,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches):
         encode = worker(Ids, vocabulary).encode
-        for batch in batches:
+        for batch in lean(batches):
             out: list[list] = [[], [], [], [], []]
             rows = ((i, t.as_py() or "") for i, t in enumerate(batch.column(1)))
             for part in by_bytes(rows, run_bytes, lambda x: len(x[1]) + 64):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import LOWER_BYTES, cut, free_name
+from tidegauge.llm.common import LOWER_BYTES, cut, free_name, lean
 from tidegauge.llm.components import connected_components
 
 #: Words in a shingle, and the most bits that linked fingerprints differ in.
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp) of every row; fp is the fingerprint's bits as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["_id", "fp"])
 

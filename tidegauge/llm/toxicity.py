@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import simhash
-from tidegauge.llm.common import cut
+from tidegauge.llm.common import cut, lean
 from tidegauge.llm.components import connected_components
 
 # Terms that count as toxic without training, and their weight.
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches):
         sums = [Counter(), Counter()]
         out = lambda y: pa.RecordBatch.from_arrays([pa.array(list(sums[y]), pa.string()), pa.array([y] * len(sums[y]), pa.int32()), pa.array(list(sums[y].values()), pa.int64())], ["term", "y", "n"])
-        for batch in batches:
+        for batch in lean(batches):
             for t, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 sums[y].update(terms_of(fold(t.as_py())))
                 if len(sums[y]) > MOST_COUNTED:  # what a task holds is bounded; partial counts are added up after it
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = set(candidates)
 
     def narrow(batches):
-        for batch in batches:
+        for batch in lean(batches):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(terms_of(fold(t)) & names) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["terms"])
 
     texts = [set(r["terms"]) for r in sample.where("_y = 1").select("_x").mapInArrow(narrow, "terms array<string>").collect()]  # at most most_toxic rows
@@ -274,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lexicon = Lexicon(terms)
 
     def feature(batches):
-        for batch in batches:
+        for batch in lean(batches):
             yield pa.RecordBatch.from_arrays([pa.array([round(lexicon.feature(t), 2) for t in batch.column(0).to_pylist()]), batch.column(1)], ["x", "y"])
 
     points = sorted(sample.mapInArrow(feature, "x double, y int").groupBy("x", "y").count().collect())  # features are rounded: a bounded table of points
@@ -312,7 +312,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["_id", "score"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_x"))
@@ -329,7 +329,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", most:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             yield batch.filter(pa.array([lexicon.score(t.as_py()) < most for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
