@@ -46,6 +46,39 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted([[plain(r[c]) for c in columns] for r in mine.collect()], key=key) == sorted([[plain(r[i]) for i in at] for r in theirs.fetchall()], key=key)
 
 
+#: So that small tables are joined and merged as large ones are: no broadcast, many partitions, merged by their sizes.
+AS_LARGE = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+
+
+@pytest.fixture
+def as_large(spark):
+    before = {k: spark.conf.get(k, None) for k in AS_LARGE}
+    for k, v in AS_LARGE.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def equals_sql_of_events(spark, folder, name, users):
+    """A query against its SQL on the events of sf0.001, whose users are renamed by an SQL expression, maybe to several each."""
+    con = duckdb.connect()
+    con.sql(f"copy (select * exclude (user_id, k), {users} as user_id from '{DATA}/events.parquet', range(40) r(k)) to '{folder}/events.parquet' (format parquet)")
+    con.sql(f"create view events as select * from '{folder}/events.parquet'")
+    theirs = con.sql(ORACLE_SQL[name])
+    mine = QUERIES[name](spark, str(folder)).select(theirs.columns).collect()
+    key = lambda r: [repr(x) for x in r]
+    assert sorted([[plain(x) for x in r] for r in mine], key=key) == sorted([[plain(x) for x in r] for r in theirs.fetchall()], key=key)
+
+
+def test_hold_of_many_runs(spark, as_large, tmp_path):
+    equals_sql_of_events(spark, tmp_path, "backtest_hold", "user_id + 15 * k")
+
+
+def test_hold_of_long_numbers(spark, tmp_path):
+    equals_sql_of_events(spark, tmp_path, "backtest_hold", "CASE WHEN k % 20 > 0 THEN 12345600 + user_id WHEN k > 0 THEN user_id END")
+
+
 def test_visibility_is_inclusive_at_the_clock(spark):
     df = spark.sql("select date'2024-01-02' as day")
     assert bars.visible_days(df, "2024-01-02 16:04:00", "16:05").count() == 0

@@ -72,11 +72,11 @@ SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS run, count(*) AS n, CAST(CASE W
 round(CASE WHEN any_value(price) IS NULL THEN 0 ELSE any_value(q * price) / ((sum(equity) + 1e6) / (count(*) + 1)) END, 6) AS turnover FROM e GROUP BY user_id""")
 def backtest_metrics(spark, d) -> DataFrame:
     """Metrics of a run for each user, all at once: half the cash in one share, held to the end."""
-    from tidegauge.plans.views import hold_runs
+    from tidegauge.plans.views import hold_runs, run_label
 
     out = trading.run_metrics(bt.backtest(*hold_runs(spark, d), own_bars=True), 1_000_000.0)
     rounded = {"total_return": 8, "volatility": 6, "max_drawdown": 8, "turnover": 6}
-    return out.select("run", "n", "fills", *[F.round(c, k).alias(c) for c, k in rounded.items()])
+    return out.select(run_label("run").alias("run"), "n", "fills", *[F.round(c, k).alias(c) for c, k in rounded.items()])
 
 
 @query("SELECT 'U' || user_id AS code, event_id AS seq, event_type AS period FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error' DESC, event_id DESC) = 1")

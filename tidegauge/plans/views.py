@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -203,14 +203,20 @@ def backtest_hold(spark, d) -> DataFrame:
     """A run for each user: half the cash into one share after its first session, held to the end."""
     rows = bt.backtest(*hold_runs(spark, d), own_bars=True)
     last = F.max_by("equity", F.when(F.col("kind") == "equity", F.col("seq")))
-    return rows.groupBy("run").agg(F.coalesce(F.sum(F.when(F.col("kind") == "fill", F.col("quantity"))), F.lit(0)).alias("quantity"), F.round(F.coalesce(F.sum("fee"), F.lit(0.0)), 4).alias("fee"), F.round(last, 4).alias("equity"))
+    out = rows.groupBy("run").agg(F.coalesce(F.sum(F.when(F.col("kind") == "fill", F.col("quantity"))), F.lit(0)).alias("quantity"), F.round(F.coalesce(F.sum("fee"), F.lit(0.0)), 4).alias("fee"), F.round(last, 4).alias("equity"))
+    return out.withColumn("run", run_label("run"))
+
+
+def run_label(run: str) -> Column:
+    """Six characters, as the SQL shows a run; longer numbers are cut, so labels are no keys."""
+    return F.lpad(run, 6, "0")
 
 
 def hold_runs(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Targets and bars of a run for each user."""
+    """Targets and bars of a run for each user; a run's key is the whole number."""
     code = F.lit("600000.SH")
     bars = _bars(spark, d).select("user_id", "day", (10.0 + F.col("volume") % 7).alias("p"), F.col("volume").cast("double").alias("volume"))
-    run = F.lpad(F.col("user_id").cast("string"), 6, "0")
+    run = F.col("user_id").cast("string")
     every = bars.select(run.alias("run"), "day", code.alias("symbol"), F.col("p").alias("open"), F.col("p").alias("close"), "volume", F.lit(1000.0).alias("up_limit"), F.lit(0.01).alias("down_limit"), F.lit(False).alias("suspended"))
     targets = every.groupBy("run").agg(F.min("day").alias("day")).select("run", "day", code.alias("symbol"), F.lit(0.5).alias("weight"))
     return targets, every
