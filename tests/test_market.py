@@ -79,6 +79,15 @@ def test_hold_of_long_numbers(spark, tmp_path):
     equals_sql_of_events(spark, tmp_path, "backtest_hold", "CASE WHEN k % 20 > 0 THEN 12345600 + user_id WHEN k > 0 THEN user_id END")
 
 
+def test_metrics_of_many_and_long_numbers(spark, as_large, tmp_path):
+    equals_sql_of_events(spark, tmp_path, "backtest_metrics", "CASE WHEN k % 20 > 0 THEN 12345600 + user_id + k // 20 * 15 WHEN k > 0 THEN user_id END")
+
+
+def test_metrics_walk_once(spark):
+    plan = QUERIES["backtest_metrics"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_visibility_is_inclusive_at_the_clock(spark):
     df = spark.sql("select date'2024-01-02' as day")
     assert bars.visible_days(df, "2024-01-02 16:04:00", "16:05").count() == 0
